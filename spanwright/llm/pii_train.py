@@ -1,0 +1,234 @@
+"""Trains the character tagger from labelled spans: python -m spanwright.llm.pii_train DATA_DIR OUT.npz [MINUTES].
+
+The labelled texts are composed here: invented people, addresses, numbers and mailboxes set into sentences of four
+languages, beside sentences with order, ticket, build and tracking numbers that are none. Sentences without personal
+data are also drawn from documents.text of DATA_DIR, as unlabelled background.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+import sys
+import time
+
+import numpy as np
+
+from .chartag import LABELS, TYPES, encode, init_params, loss_and_grads, spans_of, Tagger
+
+_FIRST = "Amara Aoife Björn Chiara Dmitri Elena Femke Goran Greta Hanneke Hugo Ilse Imani Inês Joanna Jürgen Kenji Kwame Leila Linnea Lukas Łucja Maren Mateo Nadia Nils Olumide Oskar Paloma Pavel Priya Quirin Rafael Rosalind Sanjay Sofia Tamsin Tobias Ucja Yusuf Zoë Anna Peter Mary José Li Omar Noah Émile Søren".split()
+_STEM = "Agl Brask Ček Drav Ek Estel Grond Hollen Kess Łag Marro Ombre Øster Pellin Quell Sedd Ster Szel Thrain Torven Ulver Vint Yarro Farr Holm Novak Petr Tann Bel Cort".split()
+_END = "ski ova ette sen quist wyn ley mann horst ning ira ado ström er son".split()
+_STREET = "Ashgrove,Old Tannery,Larkspur,Lantern,Harrow,Copperfold,Tidemark,Fernhollow,Millrace,Brickyard,Quillan,Willow,Cedar Hill,Foxglove,Station,Granary".split(",")
+_WAY = "Street St. Avenue Ave Road Lane Close Row".split()
+_T1 = "Brack Corv Hald Merrow Oster Quill Stav Till Vane Wren Ash Thorn".split()
+_T2 = "dale enau mill moor strand wick ford".split()
+_HOST = "mail post brevix kestril lodran hallmoor kestrilnet lodrannet brevixnet postnet mailnet hallmoornet mail-box post-box brevix-box kestril-box lodran-box hallmoor-box corvnet".split()
+_TLD = "example example.org example.net co.example invalid test".split()
+
+_MAIL = ["My address is {E}, the old one bounced.", "Contact: {E}", "Please write back to {E} when it is fixed.", "Bitte antworten Sie an {E}.", "Meine Adresse lautet {E}.", "Répondez-moi à {E} s'il vous plaît.", "Mon adresse est {E}.", "Mi correo es {E}.", "Escríbanme a {E} por favor.", "Invoices go to {E}, not to the desk.", "new address since Monday: {E};", "either {E} or the portal", "{E}, {E} and {E} got the same answer.", "(reply-to: {E})", "Send the trace to <{E}>.", "cc {E}", "the ticket was opened by {E}", "Forwarded from {E} without a subject.", "You can reach me under {E} until Friday.", "{E}"]
+_PHONE = ["Tel. {P}", "Tel.: {P}", "Tél. : {P}", "Mobile: {P}", "I missed your call, try {P} again.", "For urgent cases {P} (day and night).", "Call me on {P} if anything is unclear.", "Fax and phone {P}", "ring {P} first", "text {P} after six", "{P} is the only line that works", "Dial {P}, then press two.", "The driver can be reached at {P}.", "My number is {P}.", "Mi teléfono es {P}.", "Llámenme al {P}.", "Mon numéro est le {P}.", "Rückruf bitte unter {P}.", "Meine Nummer ist {P}.", "Appelez-moi au {P}.", "{P}"]
+_ID = ["For identification I give my personal number {I}.", "Passport no. {I} was used at the gate.", "Passport no. {I}", "{I} was used at the gate.", "{I} is what my card says", "ID card {I} has expired.", "My social security number is {I}.", "my SSN: {I}", "Passeport n° {I}", "Pasaporte: {I}", "Mi número de identidad es {I}.", "Meine Ausweisnummer ist {I}.", "Steuer-ID: {I}", "The tax id on file is {I}.", "National insurance {I}", "identity no {I}, issued last spring", "driver licence {I} attached", "The gate wrote down {I} from my papers.", "Mon numéro d'identité est {I}.", "Führerschein {I}", "Reisepass {I}"]
+_ADDR = ["I live at {A}.", "We moved to {A} last month.", "Please deliver to {A}.", "Ship the replacement to {A} instead.", "The parcel was left outside {A}.", "The van stood in front of {A} all night.", "Our flat, {A}, has no lift.", "home is {A}, ring twice", "pick-up at {A} between nine and ten", "Address: {A}", "Livrez à {A}.", "J'habite au {A}.", "Vivo en {A}.", "Envíen el paquete a {A}.", "Ich wohne in der {A}.", "Bitte liefern Sie an {A}.", "{A}"]
+_NAME = ["My name is {N}.", "This is {N} from the loading bay.", "It was {N} who changed the template.", "Is {N} still on leave?", "{N} asked me to write in.", "I spoke with {N} about this yesterday.", "Yesterday {N} and the driver waited two hours.", "Dr. {N} already checked the label.", "{N} already checked the label.", "Ms {N} is waiting on the line.", "Mr {N} is waiting on the line.", "Herr {N} wartet.", "Frau {N} wartet.", "La señora {N} espera.", "El señor {N} espera.", "M. {N} attend.", "Mme {N} attend.", "Please copy {N} on the reply.", "Signed: {N}", "pallet signed off by {N} at the ramp", "the shift lead ({N}) said no", "Hi, {N} here again.", "attn {N}", "Me llamo {N}.", "Mein Name ist {N}.", "Je m'appelle {N}.", "Regards,\n{N}", "Cordialement,\n{N}", "Viele Grüße\n{N}", "Saludos,\n{N}", "{N} ({P}) and {N} ({P}) were on shift."]
+_MIX = ["Regards, {N}, {A}, tel {P}.", "Contact {N} <{E}> or {P}.", "For the record: {N} | {I} | {A}", "name={N}; mail={E}; tel={P}", "{N}, {P}, {E}"]
+_NONE = ["Ticket 202{d}0{d}14-00{d}{d}{d} has the log.", "Order 44{d}{d}{d}-90-{d}{d}{d}1 is still open.", "Batch 212-{d}{d}{d}-{d}{d}{d} was rerun.", "Checksum {d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d} matched.", "Checksum {d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d} matched.", "Invoice {d}{d}{d}555{d}{d}{d}{d} was paid on 2026-0{d}-1{d}.", "Node 10.20.{d}0.4{d} answered in {d}{d}{d} ms.", "Build {d}.1{d}.0-rc{d} shows the same thing.", "The tracking code is ZX {d}{d} 1200 {d}{d}{d}.", "The tracking code is ZX {d}{d}{d} 1200 {d}{d}{d}.", "The part number is QX-{d}{d}{d}-{d}{d}{d}-{d}.", "Dock 1{d}, bay {d}, door {d} was free.", "Ping @oncall-desk if it repeats.", "The Saltgate Index answered first.", "The {X} Freight account is active.", "See chapter {d}, Lantern Routing.", "Trace RQ-{d}{d}{d} took {d}{d} s at 1{d}:{d}{d}.", "Code TRX-{d}{d}{d}{d} means that the retriever gave up after {d} attempts.", "[kb-{d}{d}{d}] The model card of {X} gives a context limit of {d}{d}{d}{d}{d} tokens.", "Ask the {G} before you clear the queue, because replays cost {d}{d}{d} credits.", "At 1{d}:{d}{d} sharp, the {G} keeps the master copy.", "Das Team {G} prüft jede Störung.", "Il faut parler à l'équipe {G} avant de vider la file.", "El equipo {G} revisa cada avería.", "In {O} wurde die Anlage über Nacht auf lumen-large umgestellt.", "Le dépôt {X} se trouve à {O} et charge sur place.", "You are a support assistant for the {X} yard. Answer only from the text below.", "Retrieved documents:", "Context:", "### Task", "SYSTEM: be brief.", "USER: Which team owns the {X} pipeline?", "Serial 00 {d}{d}{d} units shipped.", "Row 666 {d}{d} of the sheet is empty.", "{G}", "{O}", "{d}{d}{d}{d}"]
+_ASK = ["Which team owns the {X} pipeline?", "What is the default timeout of the {X} retriever in seconds?", "Where is the outbound freight of the {X} depot loaded?", "Wie viele Paletten fasst das Lager {X}?", "Aus welchem Ort liefert das Depot {X}?", "Depuis quelle ville le dépôt {X} expédie-t-il ?", "¿Qué equipo se encarga del proceso {X}?", "¿A los cuántos segundos abandona el buscador {X}?", "In which year did the {X} gateway go live?", "How many tokens fit into the context window of the {X} model?", "Welches Team betreut die Strecke {X}?", "Quelle équipe s'occupe de la chaîne {X} ?", "Please answer in French."]
+_TEAM = "Index Keepers,Freight Desk,Night Watch,Prompt Guild,Tariff Office,Quality Bench,Ledger Crew,Routing Cell,Signal Group,Trace Platform,Yard Operations,Retrieval Squad,Harbor Team,Claims Unit".split(",")
+
+
+class Maker:
+    def __init__(self, seed: int, background: list[str]):
+        self.r = random.Random(seed)
+        self.background = background
+
+    def d(self, n: int) -> str:
+        return "".join(self.r.choice("0123456789") for _ in range(n))
+
+    def entity(self) -> str:
+        r = self.r
+        w = "".join(r.choice("bdfgklmnprstv") + r.choice("aeiou") for _ in range(r.choice((2, 2, 3, 4))))
+        return (w + r.choice(("", "st", "nd", "x", "l", "r", "n", "rand"))).capitalize()
+
+    def town(self) -> str:
+        return self.r.choice(_T1) + self.r.choice(_T2)
+
+    def surname(self) -> str:
+        r = self.r
+        if r.random() < 0.12:
+            return "".join(r.choice("bcdfghjklmnprstvwz") + r.choice("aeiouy") for _ in range(r.choice((2, 3)))).capitalize() + r.choice(("n", "r", "s", "k", ""))
+        return r.choice(_STEM) + r.choice(_END)
+
+    def name(self) -> str:
+        r = self.r
+        first, last = r.choice(_FIRST), self.surname()
+        u = r.random()
+        if u < 0.09:
+            last += "-" + self.surname()
+        v = r.random()
+        if v < 0.55:
+            out = f"{first} {last}"
+        elif v < 0.67:
+            out = f"{first} {r.choice('ABCDEHJKLMPRST')}. {last}"
+        elif v < 0.82:
+            out = f"{first[0]}. {last}"
+        elif v < 0.91:
+            out = f"{last.upper()}, {first}"
+        else:
+            out = f"{first.lower()} {last.lower()}"
+        return out
+
+    def email(self) -> str:
+        r = self.r
+        first, last = r.choice(_FIRST).lower(), self.surname().lower()
+        clean = lambda s: "".join(c for c in s if c.isascii() and c.isalpha()) or "ab"
+        first, last = clean(first), clean(last)
+        user = r.choice((f"{first}.{last}", f"{first}-{last}", f"{first}+{last[:4]}", f"{first[0]}{last}", f"{last}_{first}", f"{first}{self.d(2)}", f"{first}.{last}{self.d(1)}"))
+        host = r.choice(_HOST) + (self.d(1) if r.random() < 0.25 else "")
+        tld = r.choice(_TLD)
+        u = r.random()
+        if u < 0.72:
+            out = f"{user}@{host}.{tld}"
+        elif u < 0.79:
+            out = f"{user}(at){host}.{tld}"
+        elif u < 0.83:
+            out = f"{user}[at]{host}.{tld}"
+        elif u < 0.87:
+            out = f"{user} AT {host}.{tld}"
+        elif u < 0.91:
+            out = f"{user} @ {host}.{tld}"
+        elif u < 0.95:
+            out = f"{user} [at] {host} dot {tld.replace('.', ' dot ')}"
+        else:
+            out = f"{user} [at] {host}.{tld}"
+        return out.upper() if r.random() < 0.06 else out
+
+    def phone(self) -> str:
+        r = self.r
+        a, b = r.choice(("212", "303", "415", "617", "808", self.d(3))), "555"
+        c = "01" + self.d(2)
+        return r.choice((f"+1 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1{a}{b}{c}", f"{a}/{b} {c} ext. {self.d(2)}", f"+44 20 7946 0{self.d(3)}", f"020 7946 0{self.d(3)}", f"+49 (0)30 23125 {self.d(3)}", f"0049-30-23125-{self.d(3)}"))
+
+    def idno(self) -> str:
+        r = self.r
+        up = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+        return r.choice((f"00 {self.d(3)} {self.d(3)} {self.d(3)}", f"666 {self.d(2)} {self.d(4)}", f"666-{self.d(2)}-{self.d(4)}", f"X{self.d(8)}", f"{up(2)}{self.d(7)}", f"{self.d(6)}-{self.d(4)}{up(1)}", f"QQ {self.d(2)} {self.d(2)} {self.d(2)} {r.choice('ABCD')}"))
+
+    def address(self) -> str:
+        r = self.r
+        s, t = r.choice(_STREET), self.town()
+        n = str(r.randint(1, 240))
+        sep = "\n" if r.random() < 0.25 else ", "
+        return r.choice((f"{n} {s} {r.choice(_WAY)}{sep}{t}", f"Flat {r.randint(1, 30)}, {n} {s} {r.choice(_WAY)}, {t}", f"{r.randint(100, 9999)} {s} {r.choice(_WAY)}, Apt {r.randint(1, 33)}{r.choice('ABC')}, {t}, ZQ 00{self.d(3)}", f"{n}, rue {s}, 00{self.d(3)} {t}", f"Calle {s} {r.randint(1, 99)}, {t}", f"{s.split()[-1]}weg {r.randint(1, 99)}{r.choice(('', '', 'a', 'b'))}, 00{self.d(3)} {t}", f"{n} {s} {r.choice(_WAY)}, {t}"))
+
+    def fill(self, template: str) -> list[tuple[str, str]]:
+        """Pieces of (text, type or '')."""
+        out = []
+        for part in re.split(r"(\{\w\})", template):
+            if part == "{N}":
+                out.append((self.name(), "person_name"))
+            elif part == "{E}":
+                out.append((self.email(), "email"))
+            elif part == "{P}":
+                out.append((self.phone(), "phone"))
+            elif part == "{I}":
+                out.append((self.idno(), "id_number"))
+            elif part == "{A}":
+                out.append((self.address(), "street_address"))
+            else:
+                out.append(({"{d}": lambda: self.d(1), "{X}": self.entity, "{G}": lambda: self.r.choice(_TEAM), "{O}": self.town}.get(part, lambda: part)(), ""))
+        return out
+
+    def text(self) -> list[tuple[str, str]]:
+        r = self.r
+        units = []
+        for _ in range(r.choice((0, 1, 1, 1, 2, 2, 3))):
+            units.append(r.choice((_MAIL, _PHONE, _ID, _ADDR, _NAME, _NAME, _MIX)))
+        for _ in range(r.choice((0, 1, 1, 2))):
+            units.append(_NONE)
+        for _ in range(r.choice((0, 1, 1, 2, 3))):
+            units.append(None)
+        units.append(_ASK)
+        r.shuffle(units)
+        out: list[tuple[str, str]] = []
+        for u in units:
+            if out:
+                out.append((r.choice((" ", " ", " ", "\n", "\n\n")), ""))
+            out += [(r.choice(self.background), "")] if u is None else self.fill(r.choice(u))
+        return out
+
+
+def labelled(m: Maker) -> tuple[np.ndarray, np.ndarray, str]:
+    text, y = "", []
+    for piece, typ in m.text():
+        text += piece
+        if typ:
+            b = 1 + 2 * TYPES.index(typ)
+            y += [b] + [b + 1] * (len(piece) - 1)
+        else:
+            y += [0] * len(piece)
+    return encode(text).astype(np.int64), np.array(y, np.int64), text
+
+
+def batch(m: Maker, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.zeros((width, size), np.int64)
+    gold = np.zeros((width, size), np.int64)
+    mask = np.zeros((width, size), np.float32)
+    for k in range(size):
+        a, y, _ = labelled(m)
+        lo = m.r.randint(0, max(0, len(a) - width)) if len(a) > width else 0
+        n = min(width, len(a) - lo)
+        ids[:n, k], gold[:n, k], mask[:n, k] = a[lo : lo + n], y[lo : lo + n], 1
+    return ids, gold, mask
+
+
+def background(data_dir: str) -> list[str]:
+    import pyarrow.parquet as pq
+
+    out = set()
+    for t in pq.read_table(f"{data_dir}/documents.parquet", columns=["text"])["text"].to_pylist()[:700]:
+        for s in re.split(r"(?<=[.?!])\s+|\n+", t or ""):
+            if 8 < len(s) < 160 and "@" not in s:
+                out.add(s)
+    return sorted(out)
+
+
+def evaluate(p: dict, m: Maker, n: int = 300) -> float:
+    t = Tagger(p)
+    tp = fp = fn = 0
+    for _ in range(n):
+        a, y, _ = labelled(m)
+        got = {(k, b) for k, b, _ in spans_of(t.viterbi(t.emissions(a[:, None]))[:, 0])}
+        want = {(k, b) for k, b, _ in spans_of(y)}
+        tp, fp, fn = tp + len(got & want), fp + len(got - want), fn + len(want - got)
+    return 2 * tp / max(1, 2 * tp + fp + fn)
+
+
+def train(data_dir: str, minutes: float, hidden: int = 24, size: int = 96, width: int = 160, log=print) -> dict[str, np.ndarray]:
+    m = Maker(11, background(data_dir))
+    p = init_params(hidden)
+    m1 = {k: np.zeros_like(v) for k, v in p.items()}
+    m2 = {k: np.zeros_like(v) for k, v in p.items()}
+    began, step, seen = time.time(), 0, 0.0
+    while (used := (time.time() - began) / 60) < minutes:
+        ids, gold, mask = batch(m, size, width)
+        loss, g = loss_and_grads(p, ids, gold, mask)
+        step += 1
+        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / size
+        clip = min(1.0, 5.0 / (norm + 1e-9)) / size
+        rate = 0.012 * min(1.0, step / 30) * max(0.03, 1 - used / minutes)
+        for k in p:
+            d = g[k] * clip
+            m1[k] = 0.9 * m1[k] + 0.1 * d
+            m2[k] = 0.99 * m2[k] + 0.01 * d * d
+            p[k] = p[k] - (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+        seen = 0.95 * seen + 0.05 * loss / size if step > 1 else loss / size
+        if step % 50 == 0:
+            log(f"step {step} {used:.1f} min loss {seen:.3f}", flush=True)
+    log("held-out F1", evaluate(p, Maker(99, m.background)), flush=True)
+    return p
+
+
+if __name__ == "__main__":
+    params = train(sys.argv[1], float(sys.argv[3]) if len(sys.argv) > 3 else 6.0)
+    np.savez_compressed(sys.argv[2], **{k: v.astype(np.float16) for k, v in params.items()}, labels=np.array(LABELS))
