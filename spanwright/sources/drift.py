@@ -43,8 +43,9 @@ def _shape(v: object) -> tuple[float, float, float, str]:
         return float(len(str(v))), math.copysign(math.log1p(abs(v)), v) if math.isfinite(v) else 0.0, 1.0, "n"
     if isinstance(v, str):
         digits = sum(c.isdigit() for c in v)
-        form = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", v))
-        return float(len(v)), 0.0, digits / max(1, len(v)), form[:6]
+        # A short word stands for itself, since a renamed member keeps its values; anything else by its form.
+        form = v if len(v) <= 24 and not digits else re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", v))[:6]
+        return float(len(v)), 0.0, digits / max(1, len(v)), form
     if isinstance(v, dict):
         return float(len(v)), 0.0, 0.0, ",".join(sorted(v))[:40]
     if isinstance(v, list):
@@ -197,7 +198,7 @@ def _likeness(a: dict, b: dict) -> float:
         if a["kind"] == "object" and a["shapes"].isdisjoint(b["shapes"]):
             score *= 0.3
         if a["kind"] == "string" and a["shapes"].isdisjoint(b["shapes"]):
-            score *= 0.75
+            score *= 0.4
     else:
         score *= 1 - min(1.0, abs(a["num"] - b["num"]) / (0.5 + 0.35 * max(abs(a["num"]), abs(b["num"]))))
     return score
