@@ -159,6 +159,10 @@ def unified(ingested: DataFrame, feed: str, target: dict[str, str], keys: tuple[
     return ingested.where((F.col("feed") == feed) & F.col("ok")).withColumn("t", typed).select(*keys, *[F.col("t").getField(p).alias(p.replace(".", "_")) for p in target], "rescued")
 
 
+def _other(path: str):
+    return lambda k, _: k != path
+
+
 def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
     """Adds approved members as typed columns, replayed from rescued; what then is typed leaves the rescue column.
 
@@ -171,7 +175,7 @@ def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
         raw = F.col("_m")[path]
         value = raw if kind == "string" else F.expr(f"try_cast(_m[{json.dumps(path)}] as {kind})")
         out = out.withColumn(name, F.coalesce(F.col(name), value) if name in table.columns else value)
-        out = out.withColumn("_m", F.when(raw.isNotNull() & value.isNotNull(), F.map_filter("_m", lambda k, _, p=path: k != p)).otherwise(F.col("_m")))
+        out = out.withColumn("_m", F.when(raw.isNotNull() & value.isNotNull(), F.map_filter("_m", _other(path))).otherwise(F.col("_m")))
     return out.withColumn("rescued", F.when(F.size("_m") > 0, F.to_json("_m"))).drop("_m")
 
 
