@@ -132,7 +132,7 @@ turns AS (
            CASE json_type(message, '$.content') WHEN 'VARCHAR' THEN json_extract_string(message, '$.content')
              WHEN 'ARRAY' THEN array_to_string(list_transform(CAST(json_extract(message, '$.content') AS JSON[]), lambda p: coalesce(json_extract_string(p, '$.text'), '')), '') END END
            ELSE content END AS body
-  FROM e LEFT JOIN roles r ON lower(trim(said)) = r.said
+  FROM e LEFT JOIN roles r ON lower(trim(e.said)) = r.said
 ),
 placed AS (
   SELECT *, count(seq) OVER w AS numbered, count(*) OVER w AS n, count(ts) OVER w AS timed,
