@@ -99,30 +99,94 @@ class Tagger:
         self.table = {d: ((params["E"] @ params["W" + d] + params["b" + d]) * half).astype(np.float32) for d in "fb"}
         self.u = {d: (params["U" + d] * half).astype(np.float32) for d in "fb"}
         self.v, self.c, self.trans, self.start = params["V"], params["c"], params["T"], params["s"]
-        #: An all-O path is the best one wherever O leads by more than any transition could give back.
-        self.slack = float(2 * (self.trans.max() - min(0.0, float(self.trans[0, 0]))) + abs(self.start).max())
+        t = self.trans - self.trans[0, 0]
+        #: The most that a step can add beside a path of O, by kind of step: o(utside), b(egin), i(nside).
+        sets = {"o": [0], "b": list(range(1, len(t), 2)), "i": list(range(2, len(t), 2))}
+        self.most = {x + y: float(t[np.ix_(sets[x], sets[y])].max()) for x in "obi" for y in "obi"}
+        start = self.start - self.start[0]
+        self.most |= {"sb": float(start[1::2].max()), "si": float(start[2::2].max())}
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """[T, B] symbols to [T, B, K] scores."""
+        """[T, B] symbols to [K, T, B] scores."""
         f = _sweep(self.table["f"], self.u["f"], ids)
         b = _sweep(self.table["b"], self.u["b"], ids[::-1])[::-1]
-        return f @ self.v[: self.hidden] + b @ self.v[self.hidden :] + self.c
-
-    def viterbi(self, em: np.ndarray) -> np.ndarray:
-        """Best labels [T, B] of [T, B, K]."""
-        steps, n, k = em.shape
-        back = np.empty((steps, n, k), np.int8)
-        score = em[0] + self.start
+        steps, n, h = f.shape
+        em = self.v[:h].T @ f.reshape(-1, h).T
+        em += self.v[h:].T @ b.reshape(-1, h).T
+        em += self.c[:, None]
+        return em.reshape(-1, steps, n)
+
+    def viterbi(self, em: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """Best labels [T, B] of [K, T, B]; first: scores to begin with, [K, B], else those of a text's start."""
+        k, steps, n = em.shape
+        back = np.zeros((steps, k, n), np.int8)
+        score = em[:, 0] + (self.start[:, None] if first is None else first)
+        cand, better = np.empty((k, n), np.float32), np.empty((k, n), bool)
         for t in range(1, steps):
-            cand = score[:, :, None] + self.trans
-            back[t] = cand.argmax(1)
-            score = np.take_along_axis(cand, back[t][:, None, :].astype(np.int64), 1)[:, 0] + em[t]
+            best = score[0] + self.trans[0][:, None]
+            for j in range(1, k):
+                np.add(score[j], self.trans[j][:, None], out=cand)
+                np.greater(cand, best, out=better)
+                np.copyto(back[t], j, where=better)
+                np.maximum(best, cand, out=best)
+            score = best + em[:, t]
         out = np.empty((steps, n), np.int8)
-        cur = score.argmax(1)
+        rows = np.arange(n)
+        cur = score.argmax(0)
         for t in range(steps - 1, -1, -1):
             out[t] = cur
             if t:
-                cur = back[t][np.arange(n), cur].astype(np.int64)
+                cur = back[t][cur, rows].astype(np.int64)
+        return out
+
+    def open_places(self, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Where a mention could be. The best path holds a mention only if it gains over O. No mention through a place
+        gains more than the best chain of begin and inside scores through it, each the highest of any type."""
+        gb, gi, m = em[1::2].max(0) - em[0], em[2::2].max(0) - em[0], self.most
+        steps = len(gb)
+        b, i, eb, ei = gb.copy(), gi.copy(), gb.copy(), gi.copy()
+        b[0] += m["sb"]
+        i[0] += m["si"]
+        for t in range(1, steps):
+            b[t] += np.maximum(np.maximum(b[t - 1] + m["bb"], i[t - 1] + m["ib"]), m["ob"])
+            i[t] += np.maximum(np.maximum(b[t - 1] + m["bi"], i[t - 1] + m["ii"]), m["oi"])
+        # A text may end inside a mention.
+        over = np.float32(-1e9)
+        nb, ni = np.full(gb.shape[1], over), np.full(gb.shape[1], over)
+        for t in range(steps - 1, -1, -1):
+            last = lengths == t + 1
+            eb[t] += np.maximum(np.maximum(nb + m["bb"], ni + m["bi"]), np.where(last, 0, m["bo"]))
+            ei[t] += np.maximum(np.maximum(nb + m["ib"], ni + m["ii"]), np.where(last, 0, m["io"]))
+            inside = lengths > t
+            nb, ni = np.where(inside, eb[t], over), np.where(inside, ei[t], over)
+        return (b + eb - gb > -1e-3) | (i + ei - gi > -1e-3)
+
+    def decode(self, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best labels [T, B] of windows of the given lengths; exact, but searched only where a mention could be."""
+        k, steps, n = em.shape
+        out = np.zeros((steps, n), np.int8)
+        open_ = self.open_places(em, lengths)
+        open_ &= np.arange(steps)[:, None] < lengths
+        edge = np.diff(open_.T.astype(np.int8), axis=1, prepend=0, append=0)
+        col, lo = np.nonzero(edge == 1)
+        _, hi = np.nonzero(edge == -1)
+        order = np.argsort(hi - lo, kind="stable")
+        for at in range(0, len(order), 512):
+            part = order[at : at + 512]
+            c, b, e = col[part], lo[part], hi[part]
+            width = int((e - b).max())
+            grid = b[None] + np.arange(width)[:, None]
+            inside = grid < e
+            cols = np.broadcast_to(c, grid.shape)[inside]
+            sub = np.full((k, width, len(part)), -1e9, np.float32)
+            sub[0] = 0
+            sub[:, inside] = em[:, grid[inside], cols]
+            # Beyond a run the label is O; at the end of a text nothing follows.
+            final, slots = e - b - 1, np.arange(len(part))
+            leave = self.trans[:, :1]
+            sub[:, final, slots] += np.where(e == lengths[c], 0, leave) - np.where(final + 1 < width, leave, 0)
+            first = np.where(b == 0, self.start[:, None], self.trans[0][:, None])
+            out[grid[inside], cols] = self.viterbi(sub, first.astype(np.float32))[inside]
         return out
 
 

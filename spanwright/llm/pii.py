@@ -22,7 +22,7 @@ from ..session import ship
 from .chartag import TYPES, Tagger, encode, spans_of
 
 #: Width of a window and the part of it shared with the next; no mention of the five types is longer than the overlap.
-WIDTH, OVERLAP, BATCH = 384, 80, 384
+WIDTH, OVERLAP, BATCH = 640, 80, 384
 
 
 def load_model(path: str | None = None) -> dict[str, np.ndarray]:
@@ -81,24 +81,16 @@ def decode(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int, int,
         for c, (k, b, e) in enumerate(part):
             ids[: e - b, c] = coded[k][b:e]
         em = tagger.emissions(ids)
-        inside = ids > 0
-        lead = em[:, :, 0] - em[:, :, 1:].max(2)
-        hot = np.flatnonzero(((lead < tagger.slack) & inside).any(0))
-        if not hot.size:
-            continue
-        sub = np.ascontiguousarray(em[:, hot])
-        labels = tagger.viterbi(np.where(inside[:, hot, None], sub, np.float32(0)))
-        for c, col in enumerate(hot):
-            k, b, e = part[col]
+        labels = tagger.decode(em, np.array([e - b for _, b, e in part]))
+        for c in np.flatnonzero(labels.any(0)):
+            k, b, e = part[c]
             n = len(coded[k])
             y = labels[: e - b, c]
-            if not y.any():
-                continue
             for t, lo, hi in spans_of(y):
                 # A mention that touches an inner edge of its window was seen whole only by the neighbour.
                 if (lo == 0 and b > 0) or (hi == e - b and e < n):
                     continue
-                gain = float((sub[lo:hi, c, 1:].max(1) - sub[lo:hi, c, 0]).sum())
+                gain = float((em[1:, lo:hi, c].max(0) - em[0, lo:hi, c]).sum())
                 edge = min(lo + b if b == 0 else lo, 32) + min(e - b - hi if e < n else 32, 32)
                 found[k].append((max(gain, 0.01) * (1 + edge / 64), t, lo + b, hi + b))
     return [_reconcile(f) for f in found]
