@@ -142,51 +142,66 @@ class Tagger:
     def open_places(self, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Where a mention could be. The best path holds a mention only if it gains over O. No mention through a place
         gains more than the best chain of begin and inside scores through it, each the highest of any type."""
-        gb, gi, m = em[1::2].max(0) - em[0], em[2::2].max(0) - em[0], self.most
-        steps = len(gb)
-        b, i, eb, ei = gb.copy(), gi.copy(), gb.copy(), gi.copy()
-        b[0] += m["sb"]
-        i[0] += m["si"]
+        m = self.most
+        g = np.stack([em[1::2].max(0), em[2::2].max(0)], 1) - em[0][:, None]
+        steps = len(g)
+        step = np.array([[m["bb"], m["bi"]], [m["ib"], m["ii"]]], np.float32)
+        into = np.ascontiguousarray(step.T)[:, :, None]
+        enter = np.array([[m["ob"]], [m["oi"]]], np.float32)
+        leave = np.array([[m["bo"]], [m["io"]]], np.float32)
+        ahead, behind = g.copy(), g.copy()
+        ahead[0] += np.array([[m["sb"]], [m["si"]]], np.float32)
         for t in range(1, steps):
-            b[t] += np.maximum(np.maximum(b[t - 1] + m["bb"], i[t - 1] + m["ib"]), m["ob"])
-            i[t] += np.maximum(np.maximum(b[t - 1] + m["bi"], i[t - 1] + m["ii"]), m["oi"])
-        # A text may end inside a mention.
-        over = np.float32(-1e9)
-        nb, ni = np.full(gb.shape[1], over), np.full(gb.shape[1], over)
-        for t in range(steps - 1, -1, -1):
-            last = lengths == t + 1
-            eb[t] += np.maximum(np.maximum(nb + m["bb"], ni + m["bi"]), np.where(last, 0, m["bo"]))
-            ei[t] += np.maximum(np.maximum(nb + m["ib"], ni + m["ii"]), np.where(last, 0, m["io"]))
-            inside = lengths > t
-            nb, ni = np.where(inside, eb[t], over), np.where(inside, ei[t], over)
-        return (b + eb - gb > -1e-3) | (i + ei - gi > -1e-3)
-
-    def decode(self, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best labels [T, B] of windows of the given lengths; exact, but searched only where a mention could be."""
-        k, steps, n = em.shape
-        out = np.zeros((steps, n), np.int8)
+            ahead[t] += np.maximum((ahead[t - 1] + into).max(1), enter)
+        # A text may end inside a mention; beyond its end nothing is inside.
+        place = np.arange(steps)[:, None]
+        behind[np.broadcast_to((place >= lengths)[:, None], behind.shape)] = -1e9
+        free = np.where((place == lengths - 1)[:, None], np.float32(0), leave)
+        behind[-1] += free[-1]
+        out = step[:, :, None]
+        for t in range(steps - 2, -1, -1):
+            behind[t] += np.maximum((out + behind[t + 1]).max(1), free[t])
+        return (ahead + behind - g > -1e-3).any(1)
+
+    def runs(self, em: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int, np.ndarray, bool, bool]]:
+        """Where a mention could be in windows: (window, from, to, scores, whether it begins and whether it ends one)."""
         open_ = self.open_places(em, lengths)
-        open_ &= np.arange(steps)[:, None] < lengths
+        open_ &= np.arange(len(open_))[:, None] < lengths
         edge = np.diff(open_.T.astype(np.int8), axis=1, prepend=0, append=0)
         col, lo = np.nonzero(edge == 1)
         _, hi = np.nonzero(edge == -1)
-        order = np.argsort(hi - lo, kind="stable")
+        return [(c, b, e, em[:, b:e, c].copy(), b == 0, e == lengths[c]) for c, b, e in zip(col.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+
+    def solve(self, runs: list[tuple]) -> list[np.ndarray]:
+        """Best labels of each run, as they are in the best path of its whole window."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(runs)
+        order = sorted(range(len(runs)), key=lambda r: runs[r][2] - runs[r][1])
+        k = len(LABELS)
+        leave = self.trans[:, 0]
         for at in range(0, len(order), 512):
             part = order[at : at + 512]
-            c, b, e = col[part], lo[part], hi[part]
-            width = int((e - b).max())
-            grid = b[None] + np.arange(width)[:, None]
-            inside = grid < e
-            cols = np.broadcast_to(c, grid.shape)[inside]
+            width = runs[part[-1]][2] - runs[part[-1]][1]
             sub = np.full((k, width, len(part)), -1e9, np.float32)
             sub[0] = 0
-            sub[:, inside] = em[:, grid[inside], cols]
-            # Beyond a run the label is O; at the end of a text nothing follows.
-            final, slots = e - b - 1, np.arange(len(part))
-            leave = self.trans[:, :1]
-            sub[:, final, slots] += np.where(e == lengths[c], 0, leave) - np.where(final + 1 < width, leave, 0)
-            first = np.where(b == 0, self.start[:, None], self.trans[0][:, None])
-            out[grid[inside], cols] = self.viterbi(sub, first.astype(np.float32))[inside]
+            first = np.empty((k, len(part)), np.float32)
+            for i, r in enumerate(part):
+                _, b, e, em, begins, ends = runs[r]
+                n = e - b
+                sub[:, :n, i] = em
+                # Beyond a run the label is O; at the end of a text nothing follows.
+                sub[:, n - 1, i] += (0 if ends else leave) - (leave if n < width else 0)
+                first[:, i] = self.start if begins else self.trans[0]
+            got = self.viterbi(sub, first)
+            for i, r in enumerate(part):
+                out[r] = got[: runs[r][2] - runs[r][1], i]
+        return out
+
+    def decode(self, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best labels [T, B] of windows of the given lengths; exact, but searched only where a mention could be."""
+        out = np.zeros(em.shape[1:], np.int8)
+        runs = self.runs(em, lengths)
+        for (c, b, e, *_), y in zip(runs, self.solve(runs), strict=True):
+            out[b:e, c] = y
         return out
 
 

@@ -74,25 +74,26 @@ def decode(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int, int,
             jobs += [(k, b, e) for b, e in _windows(len(coded[k]))]
     jobs.sort(key=lambda j: j[2] - j[1])
     found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+    runs, home = [], []
     for at in range(0, len(jobs), BATCH):
         part = jobs[at : at + BATCH]
         width = part[-1][2] - part[-1][1]
         ids = np.zeros((width, len(part)), np.int64)
         for c, (k, b, e) in enumerate(part):
             ids[: e - b, c] = coded[k][b:e]
-        em = tagger.emissions(ids)
-        labels = tagger.decode(em, np.array([e - b for _, b, e in part]))
-        for c in np.flatnonzero(labels.any(0)):
-            k, b, e = part[c]
-            n = len(coded[k])
-            y = labels[: e - b, c]
-            for t, lo, hi in spans_of(y):
-                # A mention that touches an inner edge of its window was seen whole only by the neighbour.
-                if (lo == 0 and b > 0) or (hi == e - b and e < n):
-                    continue
-                gain = float((em[1:, lo:hi, c].max(0) - em[0, lo:hi, c]).sum())
-                edge = min(lo + b if b == 0 else lo, 32) + min(e - b - hi if e < n else 32, 32)
-                found[k].append((max(gain, 0.01) * (1 + edge / 64), t, lo + b, hi + b))
+        got = tagger.runs(tagger.emissions(ids), np.array([e - b for _, b, e in part]))
+        runs += got
+        home += [part[r[0]] for r in got]
+    for (_, lo, hi, em, _, _), (k, b, e), y in zip(runs, home, tagger.solve(runs), strict=True):
+        n = len(coded[k])
+        for t, f, u in spans_of(y):
+            f, u = f + lo, u + lo
+            # A mention that touches an inner edge of its window was seen whole only by the neighbour.
+            if (f == 0 and b > 0) or (u == e - b and e < n):
+                continue
+            gain = float((em[1:, f - lo : u - lo].max(0) - em[0, f - lo : u - lo]).sum())
+            edge = min(f + b if b == 0 else f, 32) + min(e - b - u if e < n else 32, 32)
+            found[k].append((max(gain, 0.01) * (1 + edge / 64), t, f + b, u + b))
     return [_reconcile(f) for f in found]
 
 
