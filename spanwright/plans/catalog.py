@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import training
+from . import core, training
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in training.QUERIES}
+    return {f.__name__: f for f in (*core.QUERIES, *training.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(training.ORACLE)
+    return core.oracle_sql() | training.ORACLE

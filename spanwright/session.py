@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -47,6 +48,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def barrier(df: DataFrame) -> DataFrame:
+    """The same rows; expressions and filters above it are not folded into those below, which keeps wide plans small."""
+    inner = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.explode(F.array(inner)).alias("_b")).select("_b.*")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once a session, so that a cluster needs no installation."""
     sc = spark.sparkContext
