@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialise, ship
 from . import diagnosis as D
 from . import signals as S
 from .rules import MODES
@@ -97,8 +97,9 @@ def _fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def fit_maps(labelled: DataFrame, key: str = "row_no") -> DataFrame:
     """Maps by mode and group of labelled reports (z_<mode>, labels): exact signature, with or without reference, all."""
     ship(labelled.sparkSession)
+    labelled = materialise(labelled.select(key, "labels", "has_reference", S.signature().alias("signature"), *[f"z_{m}" for m in MODES]), "labelled")
     z = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"z_{m}").alias("z"), F.array_contains(F.coalesce("labels", F.array()), m).cast("int").alias("y")) for m in MODES])
-    buckets = F.array(S.signature(), F.when(F.col("has_reference"), "__ref__").otherwise("__noref__"), F.lit("__global__"))
+    buckets = F.array("signature", F.when(F.col("has_reference"), "__ref__").otherwise("__noref__"), F.lit("__global__"))
     rows = labelled.select(F.col(key).alias("k"), F.explode(z).alias("r"), buckets.alias("bs")).where(F.col("r.z") > D.MASK)
     rows = rows.select("k", "r.mode", (F.round(F.col("r.z") * GRID) / GRID).alias("z"), "r.y", F.explode("bs").alias("bucket"))
     hold = (F.pmod(F.xxhash64("k", "mode"), F.lit(3)) == 0).cast("int")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, training
+from . import core, fits, logs, training
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*core.QUERIES, *training.QUERIES)}
+    return {f.__name__: f for f in (*core.QUERIES, *logs.QUERIES, *fits.QUERIES, *training.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return core.oracle_sql() | training.ORACLE
+    return core.oracle_sql() | logs.oracle_sql() | fits.oracle_sql() | training.ORACLE

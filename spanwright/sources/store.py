@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import signals as S
 
@@ -60,6 +61,6 @@ def write_lines(df: DataFrame, path: str) -> None:
     to_lines(df).write.mode("overwrite").text(path)
 
 
-def read_native(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_native(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Rows written by write_lines; members that are missing or of another type are null, and the raw line is kept."""
     return spark.read.text(path).select(F.from_json("value", schema).alias("r"), F.col("value").alias("raw")).select("r.*", "raw")
