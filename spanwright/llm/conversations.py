@@ -114,37 +114,43 @@ def validate(buffered: list[tuple]) -> list[tuple[int, int]]:
 
 def _close(gap_ms: int):
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            buffered = [tuple(x) for x in json.loads(state.get[0])]
+        # trace -> [last event, {identity: turn}] of the conversations of this bucket that are still open.
+        live: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                stamp = pdf["at"].astype("int64") // (10**6 if pdf["at"].dtype == "datetime64[ns]" else 10**3)
+                for trace, ts, seq, flags, same, row_no, at in zip(pdf["trace"], pdf["ts"], pdf["seq"], pdf["flags"], pdf["same"], pdf["row_no"], stamp, strict=True):
+                    turn = [None if ts is None or ts != ts else float(ts), None if seq is None or seq != seq else int(seq), int(flags), int(same), int(row_no)]
+                    one = live.setdefault(trace, [0, {}])
+                    one[0] = max(one[0], int(at))
+                    kept = one[1].get(str(turn[3]))
+                    if kept is None or turn[4] < kept[4]:
+                        one[1][str(turn[3])] = turn
+        now = state.getCurrentWatermarkMs()
+        done = [t for t, (last, _) in live.items() if last + gap_ms <= now]
+        rows = [(t, n, ROLES[r], row) for t in done for n, (r, row) in enumerate(validate([tuple(x) for x in live[t][1].values()]))]
+        for t in done:
+            del live[t]
+        if live:
+            state.update((json.dumps(live),))
+            state.setTimeoutTimestamp(max(min(last for last, _ in live.values()) + gap_ms, now + 1))
+        elif state.exists:
             state.remove()
-            out = validate(buffered)
-            if out:
-                yield pd.DataFrame({"trace_id": key[0], "turn_no": range(len(out)), "role": [ROLES[r] for r, _ in out], "row_no": [n for _, n in out]})
-            return
-        buffered, last = ([], 0) if not state.exists else (json.loads(state.get[0]), state.get[1])
-        known = {x[3]: i for i, x in enumerate(buffered)}
-        for pdf in pdfs:
-            stamp = pdf["at"].astype("int64") // (10**6 if pdf["at"].dtype == "datetime64[ns]" else 10**3)
-            for ts, seq, flags, same, row_no, at in zip(pdf["ts"], pdf["seq"], pdf["flags"], pdf["same"], pdf["row_no"], stamp, strict=True):
-                turn = [None if ts != ts or ts is None else float(ts), None if seq != seq or seq is None else int(seq), int(flags), int(same), int(row_no)]
-                last = max(last, int(at))
-                i = known.get(turn[3])
-                if i is None:
-                    known[turn[3]] = len(buffered)
-                    buffered.append(turn)
-                elif turn[4] < buffered[i][4]:
-                    buffered[i] = turn
-        state.update((json.dumps(buffered), last))
-        state.setTimeoutTimestamp(max(last + gap_ms, state.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=["trace_id", "turn_no", "role", "row_no"])
 
     return step
 
 
-def conversation_stream(events: DataFrame, delay: str = "45 days", gap_ms: int = 6 * 3600 * 1000) -> DataFrame:
-    """The streaming operator: intact conversations as append-mode rows (trace_id, turn_no, role, row_no)."""
+def conversation_stream(events: DataFrame, delay: str = "45 days", gap_ms: int = 6 * 3600 * 1000, buckets: int = 4096) -> DataFrame:
+    """The streaming operator: intact conversations as append-mode rows (trace_id, turn_no, role, row_no).
+
+    State is keyed by the hash of the trace, so that one call serves the open conversations of a bucket; each of them
+    still closes at its own time. Raise buckets with the number of conversations open at once.
+    """
     ship(events.sparkSession)
-    t = turns(events).withWatermark("at", delay)
-    return t.groupBy("trace").applyInPandasWithState(_close(gap_ms), _TURN, "turns string, last bigint", "append", "EventTimeTimeout")
+    t = turns(events).withColumn("bucket", F.pmod(F.xxhash64("trace"), F.lit(buckets))).withWatermark("at", delay)
+    return t.groupBy("bucket").applyInPandasWithState(_close(gap_ms), _TURN, "open string", "append", "EventTimeTimeout")
 
 
 def rebuild_log(spark: SparkSession, path: str, schema: T.StructType, delay: str = "45 days") -> DataFrame:
