@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, work_dir
+from ..session import emit, ship, work_dir
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Training sentences at most for each kind: with some vote, without any by hash, and the most usual without any.
@@ -208,7 +208,7 @@ def _vote_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     p = ",".join(str(x) for c in CATEGORIES for x in v[c])
                     out[key, p] = out.get((key, p), 0) + 1
         rows = [(s, p, n) for (s, p), n in out.items()] + [(s, "", n) for s, n in quiet.items()]
-        yield pd.DataFrame(rows, columns=["sentence", "pattern", "n"])
+        yield from emit(pd.DataFrame(rows, columns=["sentence", "pattern", "n"]))
 
 
 def fit(documents: DataFrame) -> dict:
@@ -271,7 +271,7 @@ def _score(weights: dict[str, np.ndarray], bias: np.ndarray):
                         if len(memo) < 200_000:
                             memo[key] = p
                     np.maximum(out[i], p, out=out[i])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], **{c: out[:, k] for k, c in enumerate(CATEGORIES)}})
+            yield from emit(pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], **{c: out[:, k] for k, c in enumerate(CATEGORIES)}}))
 
     return run
 

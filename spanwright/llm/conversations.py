@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship, work_dir
+from ..session import emit, ship, work_dir
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Bits of a turn's state.
@@ -137,7 +137,7 @@ def _close(gap_ms: int):
         elif state.exists:
             state.remove()
         if rows:
-            yield pd.DataFrame(rows, columns=["trace_id", "turn_no", "role", "row_no"])
+            yield from emit(pd.DataFrame(rows, columns=["trace_id", "turn_no", "role", "row_no"]))
 
     return step
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import emit, ship
 
 DEFECTS = ("empty_answer", "truncated_answer", "refusal", "copied_question", "wrong_language")
 
@@ -175,7 +175,7 @@ def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     text = lambda x: x if isinstance(x, str) else None
     for pdf in batches:
         got = [defect(text(q), text(p), text(a), bool(c)) for q, p, a, c in zip(pdf["question"], pdf["prompt"], pdf["answer"], pdf["cut"], strict=True)]
-        yield pd.DataFrame({"row_no": pdf["row_no"], "defect": got})
+        yield from emit(pd.DataFrame({"row_no": pdf["row_no"], "defect": got}))
 
 
 def broken_pairs(pairs: DataFrame, cut: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import emit, ship
 from .chartag import TYPES, Tagger, encode, spans_of
 
 #: Width of a window and the part of it shared with the next; no mention of the five types is longer than the overlap.
@@ -97,30 +97,46 @@ def decode(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int, int,
     return [_reconcile(f) for f in found]
 
 
-_MAILISH = re.compile(r"@|\(at\)|\[at\]|\bat\b", re.I)
+_AT = re.compile(r"\s?(?:@|\(at\)|\[at\]|\bat\b)\s?", re.I)
+_SPELT_AT = re.compile(r"\s?(?:\(at\)|\[at\]|at)\s[\w-]+(?:\sdot\s|\.)\w", re.I)
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _FULL = re.compile(r"[^\W\d_]\W+[^\W\d_]{2,}")
 
 
 def _check(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """An exact check of what the tagger found: trims blanks and marks at the edges, drops what can't be of its type."""
+    """An exact check of what the tagger found: sets its edges at words and drops what can't be of its type."""
     out = []
     for t, b, e in spans:
         while b < e and (text[b].isspace() or text[b] in ".,;:<>|\"=" or (text[b] == "(" and t != 1)):
             b += 1
         while e > b and (text[e - 1].isspace() or text[e - 1] in ",;:<>|\"("):
             e -= 1
+        while 0 < b < e and text[b].isalnum() and text[b - 1].isalnum():
+            b -= 1
+        if t == 4 and _SPELT_AT.match(text, e):
+            # A mailbox written out: the name before it is its first part.
+            t, b = 0, max(b, text.rfind(" ", 0, e) + 1, text.rfind("\n", 0, e) + 1)
+            e = _SPELT_AT.match(text, e).end()
         s = text[b:e]
         digits = sum(c.isdigit() for c in s)
         if t == 0:
-            ok = bool(_MAILISH.search(s)) and len(s) >= 6
+            at = _AT.search(s)
+            ok = bool(at) and len(s) >= 6
+            if ok:
+                local = re.search(r"\S+$", text[: b + at.start()])
+                b = max(local.start(), b - 40) if local and at.start() < 2 else b + (local.start() - b if local and local.start() > b else 0)
+                while e > b and text[e - 1] in ".)":
+                    e -= 1
         elif t == 1:
             ok = digits >= 7
         elif t == 2:
-            ok = 6 <= digits <= 14
+            ok = 6 <= digits <= 14 and not (s.isdigit() and digits < 8)
         elif t == 3:
-            ok = digits >= 1 and bool(_WORD.search(s))
+            ok = digits >= 1 and any(w[0].isupper() for w in _WORD.findall(s))
         else:
+            words = s.split()
+            if len(words) > 2 and words[0].islower() and words[1][:1].isupper():
+                b += len(words[0]) + 1
             ok = digits == 0 and bool(_FULL.search(s)) and "@" not in s
         if ok:
             out.append((t, b, e))
@@ -142,13 +158,13 @@ def _scan(params: dict[str, np.ndarray], keys: list[str], redact: bool):
                         for t, b, e in reversed(f):
                             s = f"{s[:b]}[{TYPES[t].upper()}]{s[e:]}"
                         out.append(s)
-                    yield rows[keys].assign(redacted=out, mentions=[len(f) for f in spans])
+                    yield from emit(rows[keys].assign(redacted=out, mentions=[len(f) for f in spans]))
                 else:
                     idx = np.repeat(np.arange(len(rows)), [len(f) for f in spans])
                     flat = [x for f in spans for x in f]
-                    yield rows.iloc[idx][keys].assign(
+                    yield from emit(rows.iloc[idx][keys].assign(
                         pii_type=[TYPES[t] for t, _, _ in flat], start_char=np.array([b for _, b, _ in flat], np.int32), end_char=np.array([e for _, _, e in flat], np.int32)
-                    )
+                    ))
 
     return run
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import emit, ship
 
 #: A tokenizers file; give another path as a parameter or in the setting spanwright.tokenizer.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -27,7 +27,7 @@ def _count(path: str):
             sizes = []
             for at in range(0, len(texts), 256):
                 sizes += [len(e.ids) for e in t.encode_batch_fast(texts[at : at + 256], add_special_tokens=False)]
-            yield pdf.drop(columns="text").assign(tokens=sizes)
+            yield from emit(pdf.drop(columns="text").assign(tokens=sizes))
 
     return run
 
