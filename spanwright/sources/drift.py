@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import emit, ship
 
 #: The columns each feed starts with: path and Spark type. Arrays end their own path; members below them stay JSON.
 TARGETS: dict[str, dict[str, str]] = {
@@ -136,7 +136,7 @@ def _ingest(targets: dict[str, dict[str, str]], keys: list[str]):
             res = pdf[keys].reset_index(drop=True)
             for k, name in enumerate(("ok", "typed", "rescued", "observed")):
                 res[name] = pd.Series([o[k] for o in out], dtype=object)
-            yield res
+            yield from emit(res)
 
     return run
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import emit, ship
 
 ROWS = "node string, ordinals array<int>, parent_pos int, child_pos int, cells map<string,string>"
 
@@ -80,7 +80,7 @@ def _walk(keys: list[str], nodes: set[str] | None, cells: bool):
             res = pdf.iloc[idx][keys].reset_index(drop=True)
             for k, name in enumerate(("node", "ordinals", "parent_pos", "child_pos", "cells")):
                 res[name] = [o[k] for o in out]
-            yield res
+            yield from emit(res)
 
     return run
 
