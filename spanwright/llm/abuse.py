@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import emit, ship, work_dir
+from ..session import emit, ship, spread, work_dir
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Training sentences at most for each kind: with some vote, without any by hash, and the most usual without any.
@@ -216,7 +216,7 @@ def fit(documents: DataFrame) -> dict:
     spark = documents.sparkSession
     ship(spark)
     path = work_dir(spark, "votes")
-    documents.select("text").mapInPandas(_vote_rows, "sentence string, pattern string, n bigint").write.parquet(path)
+    spread(documents.select("text")).mapInPandas(_vote_rows, "sentence string, pattern string, n bigint").write.parquet(path)
     voted = spark.read.parquet(path)
     counts = {r["pattern"]: r["n"] for r in voted.where("pattern <> ''").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     width = [len(VOTERS[c]) for c in CATEGORIES]
@@ -279,7 +279,7 @@ def _score(weights: dict[str, np.ndarray], bias: np.ndarray):
 def score(documents: DataFrame, model: dict | None = None) -> DataFrame:
     """(doc_id, source, abusive, hateful, sexual): each document's scores from 0 to 1."""
     model = model or fit(documents)
-    src = documents.select("doc_id", "source", "text")
+    src = spread(documents.select("doc_id", "source", "text"))
     return src.mapInPandas(_score(model["weights"], model["bias"]), "doc_id bigint, source string, abusive double, hateful double, sexual double")
 
 

@@ -132,7 +132,7 @@ def _check(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
         elif t == 2:
             ok = 6 <= digits <= 14 and not (s.isdigit() and digits < 8)
         elif t == 3:
-            ok = digits >= 1 and any(w[0].isupper() for w in _WORD.findall(s))
+            ok = digits >= 1 and len(_WORD.findall(s)) > 1 and any(w[0].isupper() for w in _WORD.findall(s))
         else:
             words = s.split()
             if len(words) > 2 and words[0].islower() and words[1][:1].isupper():

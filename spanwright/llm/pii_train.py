@@ -1,4 +1,4 @@
-"""Trains the character tagger from labelled spans: python -m spanwright.llm.pii_train DATA_DIR OUT.npz [MINUTES].
+"""Trains the character tagger from labelled spans: python -m spanwright.llm.pii_train DATA_DIR OUT.npz [MINUTES [VOCABULARY [START.npz]]].
 
 The labelled texts are composed here: invented people, addresses, numbers and mailboxes set into sentences of four
 languages, beside sentences with order, ticket, build and tracking numbers that are none. Sentences without personal
@@ -97,10 +97,10 @@ class Maker:
             out = f"{user} AT {host}.{tld}"
         elif u < 0.91:
             out = f"{user} @ {host}.{tld}"
-        elif u < 0.95:
-            out = f"{user} [at] {host} dot {tld.replace('.', ' dot ')}"
+        elif u < 0.96:
+            out = f"{user} {r.choice(('[at]', '(at)', 'at'))} {host} dot {tld.replace('.', ' dot ')}"
         else:
-            out = f"{user} [at] {host}.{tld}"
+            out = f"{user} {r.choice(('[at]', '(at)'))} {host}.{tld}"
         return out.upper() if r.random() < 0.06 else out
 
     def phone(self) -> str:
@@ -182,7 +182,7 @@ def batch(m: Maker, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return ids, gold, mask
 
 
-def background(data_dir: str) -> list[str]:
+def background(data_dir: str, vocabulary: str | None = None) -> list[str]:
     import pyarrow.parquet as pq
 
     out = set()
@@ -190,6 +190,15 @@ def background(data_dir: str) -> list[str]:
         for s in re.split(r"(?<=[.?!])\s+|\n+", t or ""):
             if 8 < len(s) < 160 and "@" not in s:
                 out.add(s)
+    if vocabulary:
+        # Sentences of any words, so that two words in a row aren't taken for a name.
+        import json
+
+        r = random.Random(3)
+        words = sorted(w[1:] for w in json.load(open(vocabulary))["model"]["vocab"] if w[:1] == "Ġ" and w[1:].isascii() and w[1:].isalpha() and w[1:].islower() and 2 < len(w) < 11)
+        for _ in range(len(out)):
+            s = " ".join(r.choice(words) for _ in range(r.randint(3, 11)))
+            out.add((s[0].upper() + s[1:] if r.random() < 0.8 else s) + r.choice((".", ".", "?", "!", "")))
     return sorted(out)
 
 
@@ -204,9 +213,9 @@ def evaluate(p: dict, m: Maker, n: int = 300) -> float:
     return 2 * tp / max(1, 2 * tp + fp + fn)
 
 
-def train(data_dir: str, minutes: float, hidden: int = 24, size: int = 96, width: int = 160, log=print) -> dict[str, np.ndarray]:
-    m = Maker(11, background(data_dir))
-    p = init_params(hidden)
+def train(data_dir: str, minutes: float, hidden: int = 24, size: int = 96, width: int = 160, vocabulary: str | None = None, start: dict[str, np.ndarray] | None = None, log=print) -> dict[str, np.ndarray]:
+    m = Maker(11, background(data_dir, vocabulary))
+    p = start or init_params(hidden)
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
     began, step, seen = time.time(), 0, 0.0
@@ -216,7 +225,7 @@ def train(data_dir: str, minutes: float, hidden: int = 24, size: int = 96, width
         step += 1
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / size
         clip = min(1.0, 5.0 / (norm + 1e-9)) / size
-        rate = 0.012 * min(1.0, step / 30) * max(0.03, 1 - used / minutes)
+        rate = (0.006 if start else 0.012) * min(1.0, step / 30) * max(0.03, 1 - used / minutes)
         for k in p:
             d = g[k] * clip
             m1[k] = 0.9 * m1[k] + 0.1 * d
@@ -230,5 +239,9 @@ def train(data_dir: str, minutes: float, hidden: int = 24, size: int = 96, width
 
 
 if __name__ == "__main__":
-    params = train(sys.argv[1], float(sys.argv[3]) if len(sys.argv) > 3 else 6.0)
+    begin = None
+    if len(sys.argv) > 5:
+        with np.load(sys.argv[5]) as z:
+            begin = {k: z[k].astype(np.float32) for k in z.files if k != "labels"}
+    params = train(sys.argv[1], float(sys.argv[3]) if len(sys.argv) > 3 else 6.0, vocabulary=sys.argv[4] if len(sys.argv) > 4 else None, start=begin)
     np.savez_compressed(sys.argv[2], **{k: v.astype(np.float16) for k, v in params.items()}, labels=np.array(LABELS))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import emit, ship
+from ..session import emit, ship, spread
 
 #: A tokenizers file; give another path as a parameter or in the setting spanwright.tokenizer.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -37,7 +37,7 @@ def token_sizes(documents: DataFrame, tokenizer: str | None = None) -> DataFrame
     spark = documents.sparkSession
     ship(spark)
     path = tokenizer or spark.conf.get("spark.spanwright.tokenizer", TOKENIZER)
-    return documents.select("doc_id", "source", "text").mapInPandas(_count(path), "doc_id bigint, source string, tokens bigint")
+    return spread(documents.select("doc_id", "source", "text")).mapInPandas(_count(path), "doc_id bigint, source string, tokens bigint")
 
 
 def running_start(df: DataFrame, group: str, order: Column, size: str, buckets: int = 64, out: str = "start") -> DataFrame:
