@@ -60,6 +60,12 @@ def emit(pdf: pd.DataFrame) -> list[pd.DataFrame]:
     return [pdf] if len(pdf) else []
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt to all cores before a costly Python stage where the input has fewer files than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once a session, so that a cluster needs no installation."""
     sc = spark.sparkContext

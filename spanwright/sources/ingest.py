@@ -39,6 +39,11 @@ _MARK = r"^[ \t]*(?:\[([^\]\n]{1,40})\]|(\d{1,3})[.)])\s+"
 _TRAILING = r"(?is)\n+[ \t]*(?:answer|question|using|based on|please)[^\n]*[:?.]?[ \t]*$"
 
 
+def strip(c: Column) -> Column:
+    """Without blanks and line ends at either end."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _at(items: Column, i: int) -> Column:
     return F.try_element_at(items, F.lit(i))
 
@@ -56,7 +61,7 @@ def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFram
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(file, position, payload) of each record of whole JSON files: the elements of an array, or the one object."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     v = F.try_parse_json(F.regexp_replace("value", "^\\x{FEFF}", ""))
     items = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
     base = whole.select(F.col("_metadata.file_name").alias("file"), "value", v.alias("v"))
@@ -100,7 +105,7 @@ def detect(v: Column) -> Column:
 
 
 def chunk(body: Column, score: Column, source: Column, gold: Column) -> Column:
-    return F.struct(F.trim(body).alias("text"), score.cast("double").alias("retriever_score"), source.cast("string").alias("source_id"), gold.cast("boolean").alias("gold"), F.expr("CAST(NULL AS struct<start:int,end:int>)").alias("char_span"))
+    return F.struct(strip(body).alias("text"), score.cast("double").alias("retriever_score"), source.cast("string").alias("source_id"), gold.cast("boolean").alias("gold"), F.expr("CAST(NULL AS struct<start:int,end:int>)").alias("char_span"))
 
 
 def keep_chunks(chunks: Column) -> Column:
@@ -125,14 +130,14 @@ def split_block(block: Column) -> Column:
     """Entries of a context block as chunks: by marker, else by rule or blank line, else whole; more than 512 are one."""
     marked = block.rlike(_ENTRY)
     parts = F.when(marked, F.split(block, _ENTRY)).when(block.rlike(r"(?m)^[ \t]*[-=*_]{3,}[ \t]*$"), F.split(block, r"(?m)^[ \t]*[-=*_]{3,}[ \t]*$")).otherwise(F.split(block, r"\n[ \t]*\n"))
-    one = lambda p: chunk(F.regexp_replace(F.trim(p), _MARK, ""), F.lit(None), F.when(F.regexp_extract(p, _MARK, 1) != "", F.regexp_extract(p, _MARK, 1)), F.lit(None))
+    one = lambda p: chunk(F.regexp_replace(strip(p), _MARK, ""), F.lit(None), F.when(F.regexp_extract(p, _MARK, 1) != "", F.regexp_extract(p, _MARK, 1)), F.lit(None))
     chunks = keep_chunks(F.transform(parts, one))
     return F.when(F.size(chunks) > MAX_CHUNKS, F.array(chunk(block, F.lit(None), F.lit(None), F.lit(None)))).otherwise(chunks)
 
 
 def without_block(text: Column) -> Column:
     """A message without its context block."""
-    return F.trim(F.regexp_replace(_at(F.split(text, _HEADER, 2), 1), _TAG, ""))
+    return strip(F.regexp_replace(_at(F.split(text, _HEADER, 2), 1), _TAG, ""))
 
 
 def transcript(messages: Column) -> Column:
