@@ -70,4 +70,4 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     # One row for each source of the target table.
     every = Window.partitionBy(F.lit(0))
     wanted = F.when(F.col("target_share") > 0, F.col("target_share")).otherwise(F.lit(0.0))
-    return joined.select("source", F.round(wanted / F.sum(wanted).over(every), 6).alias("target_share"), F.round(F.coalesce(F.col("tokens") / F.sum("tokens").over(every), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats")
+    return joined.select("source", F.round(F.coalesce(F.try_divide(wanted, F.sum(wanted).over(every)), F.lit(0.0)), 6).alias("target_share"), F.round(F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(every)), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats")
