@@ -153,3 +153,35 @@ def corpus_summary(labeled: DataFrame) -> DataFrame:
 def dedup_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row in order of each key; combines before the shuffle."""
     return rows.groupBy(*keys).agg(F.min(order).alias(order))
+
+
+def override_slice(reports: DataFrame) -> DataFrame:
+    """Overrides against dilutions, which look alike from outside: whether naming hallucination tells them apart."""
+    r = reports.where("injection_recipe IN ('hallucination_override', 'context_dilution')")
+    is_override = F.col("injection_recipe") == "hallucination_override"
+    said = ~F.col("abstained") & (F.col("primary_mode") == "hallucination")
+    n = r.agg(F.count_if(is_override & said).alias("tp"), F.count_if(~is_override & said).alias("fp"), F.count_if(is_override & ~said).alias("fn"), F.count_if(~is_override & ~said).alias("tn"))
+    return n.withColumn("f1", F.round(F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)), 6))
+
+
+def frozen(simulated: DataFrame, stripped: DataFrame) -> DataFrame:
+    """Stripped rows with the decisions made before: joined by what stripping leaves as it was."""
+    key = lambda df: df.withColumn("_key", F.sha1(F.concat_ws("\x1d", F.col("prompt"), F.array_join(F.transform(F.coalesce("retrieved_context", F.array()), lambda c: F.coalesce(c["text"], F.lit(""))), "\x1e"), F.coalesce(F.to_json("sim"), F.lit("")))))
+    before = key(simulated).groupBy("_key").agg(F.first("decision").alias("decision"))
+    return key(stripped.drop("decision") if "decision" in stripped.columns else stripped).join(before, "_key", "left").drop("_key")
+
+
+def shape_probe(features: DataFrame, depth: int = 4) -> DataFrame:
+    """How well a small tree tells labels from the shape of a trace alone: (accuracy, majority) on a hashed fifth."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    shape = ["n_chunks", "context_length_tokens", "answer_length_tokens", "prompt_n_content_words"]
+    label = F.coalesce(F.get(F.array_sort(gold_primary()), F.lit(0)), F.lit("none"))
+    rows = features.select("row_no", label.alias("label"), *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in shape])
+    rows = VectorAssembler(inputCols=shape, outputCol="x").transform(rows)
+    rows = StringIndexer(inputCol="label", outputCol="y").fit(rows).transform(rows)
+    test = F.pmod(F.xxhash64("row_no"), F.lit(5)) == 0
+    model = DecisionTreeClassifier(featuresCol="x", labelCol="y", maxDepth=depth, seed=1).fit(rows.where(~test))
+    scored = model.transform(rows.where(test))
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("y")).cast("double")), 6).alias("accuracy"), F.round(F.avg((F.col("y") == 0).cast("double")), 6).alias("majority"))

@@ -74,7 +74,7 @@ def dominant_action(outcomes: DataFrame) -> DataFrame:
 def summary(reports: DataFrame) -> DataFrame:
     """Totals of the three buckets and the share that abstained."""
     n = F.count(F.lit(1))
-    return reports.agg(n.alias("n_input"), *[F.count_if(F.col("bucket") == b).alias(f"n_{b}") for b in ("diagnosed", "healthy", "declined")], F.round(F.count_if("abstained") / n, 6).alias("abstention_rate"))
+    return reports.agg(n.alias("n_input"), *[F.count_if(F.col("bucket") == b).alias(f"n_{b}") for b in ("diagnosed", "healthy", "declined")], F.round(F.coalesce(F.try_divide(F.count_if("abstained"), n), F.lit(0.0)), 6).alias("abstention_rate"))
 
 
 def failures(reports: DataFrame, order: str = "row_no", n: int = FAILURES) -> DataFrame:
@@ -93,3 +93,25 @@ def render(ranked: DataFrame, total: DataFrame, k: int = 10) -> str:
     for r in top(ranked, k).collect():
         lines.append(f"{r['rank']:>3}  {r['primary_mode']:<18} {r['headline']:<22} n={r['n']:<7} conf={r['mean_confidence']:.2f} logodds={r['mean_logodds']:+.2f}  {r['action']}")
     return "\n".join(lines)
+
+
+def notes(ranked: DataFrame, total: DataFrame, failed: int = 0, with_reference: int | None = None) -> list[str]:
+    """What a reader of the report should know, from its one row of totals and its few clusters."""
+    t = total.first()
+    n, diagnosed = t["n_input"], t["n_diagnosed"]
+    if n == 0:
+        return ["No trace was given." if not failed else f"None of {failed} traces could be read."]
+    out = []
+    if failed:
+        out.append(f"{failed} of {n + failed} traces could not be read and are in no cluster.")
+    if 0 < diagnosed < n:
+        out.append(f"Shares are of the {diagnosed} diagnosed traces, not of all {n}.")
+    if diagnosed == 0:
+        out.append("No trace was diagnosed: each was healthy or had too little evidence.")
+    elif t["abstention_rate"] >= 0.5:
+        out.append(f"No cause was named for {t['abstention_rate']:.0%} of the traces.")
+    if with_reference == 0:
+        out.append("No trace has a reference: these are risks, not confirmed errors.")
+    elif "measured_impact" in ranked.columns and diagnosed and ranked.where("measured_impact IS NOT NULL").limit(1).count() == 0:
+        out.append("No fix was scored by a second run.")
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration as C
 from ..operators import corpus, recommend
+from ..operators import profiles as PR
 from ..operators import diagnosis as D
 from ..operators import evaluation as E
 from ..operators import rules as R
@@ -125,7 +126,41 @@ def synthetic_corpus(spark, d):
     return r.groupBy("injection_recipe").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit | ((F.size(E.gold_primary()) == 0) & F.col("abstained"))).alias("right"))
 
 
-QUERIES = (evaluation_metrics, mode_scores, confusion, corpus_summary, calibration_bins, calibration_grid, family_ablation, conformal_fit, calibration_maps, calibration_levels, residual_fit, simulated_decisions, interventions, dominant_actions, noise_sweep, no_reference, synthetic_corpus)
+def override_slice(spark, d):
+    """Overrides against dilutions."""
+    return E.override_slice(_labelled(spark, d))
+
+
+def shape_probe(spark, d):
+    """What the shape of a trace alone gives away."""
+    return E.shape_probe(materialise(core.features(spark, d, "labeled_inference"), "features"))
+
+
+def frozen_replay(spark, d):
+    """Decisions of the stand-in kept for rows whose references were stripped."""
+    s = materialise(M.simulate(table(spark, d, "labeled_inference")), "simulated")
+    again = E.frozen(s, E.strip_reference(s))
+    return again.groupBy(F.col("decision.kind").alias("kind"), F.col("ground_truth").isNull().alias("stripped")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tier_signals(spark, d):
+    """How many signals each tier sees, on simulated rows."""
+    f = materialise(S.black_signals(S.tokens(M.model_signals(M.simulate(table(spark, d, "labeled_inference")), "white"))), "simulated")
+    out = None
+    for tier in S.TIERS:
+        n = sum((F.col(s).isNotNull().cast("int") for s in S.SIGNALS), F.lit(0))
+        one = PR.at_tier(f, tier).agg(F.lit(tier).alias("tier"), F.count(F.lit(1)).alias("n"), F.sum(n).alias("signals"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def chunk_places(spark, d):
+    """Chunks found in their prompts, and where the first stands."""
+    t = table(spark, d, "inference").where("size(retrieved_context) > 0").select("row_no", PR.chunk_spans(F.col("prompt"), F.col("retrieved_context")).alias("s"))
+    return t.select("row_no", F.size(F.filter("s", lambda x: x.isNotNull())).alias("found"), F.get("s", F.lit(0))["start"].alias("first_start"))
+
+
+QUERIES = (override_slice, shape_probe, frozen_replay, tier_signals, chunk_places, evaluation_metrics, mode_scores, confusion, corpus_summary, calibration_bins, calibration_grid, family_ablation, conformal_fit, calibration_maps, calibration_levels, residual_fit, simulated_decisions, interventions, dominant_actions, noise_sweep, no_reference, synthetic_corpus)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -155,4 +190,7 @@ SELECT mode, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision, roun
 SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(outcome::INT), 6) AS mean_outcome FROM b GROUP BY bin""",
         "calibration_grid": f"WITH {d}, l AS ({long}) SELECT CAST(least(floor(p * 20), 19) AS INTEGER) AS cell, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(true_::INT), 6) AS mean_y FROM l WHERE live GROUP BY 1",
         "family_ablation": " UNION ALL ".join(ablated),
+        "override_slice": f"""WITH {d}, o AS (SELECT i.injection_recipe = 'hallucination_override' AS o, NOT abstained AND primary_mode = 'hallucination' AS said FROM d JOIN labeled_inference i USING (row_no) WHERE i.injection_recipe IN ('hallucination_override', 'context_dilution')),
+n AS (SELECT count(*) FILTER (WHERE o AND said) AS tp, count(*) FILTER (WHERE NOT o AND said) AS fp, count(*) FILTER (WHERE o AND NOT said) AS fn, count(*) FILTER (WHERE NOT o AND NOT said) AS tn FROM o)
+SELECT *, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1 FROM n""",
     }
