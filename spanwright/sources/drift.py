@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -371,26 +371,45 @@ def compare(files: list[tuple[str, dict[str, dict]]], totals: list[int]) -> list
 _CHANGES = "feed string, producer string, file_name string, change_kind string, old_path string, new_path string"
 
 
-def _per_producer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["landed_at", "file_name", "path", "kind"])
-    files: list[tuple[str, dict]] = []
-    totals: list[int] = []
-    for (_, name), part in pdf.groupby(["landed_at", "file_name"], sort=True):
-        at: dict[str, dict] = {}
-        for r in part.to_dict("records"):
-            if r["path"] == "":
-                totals.append(int(r["records"]))
-            else:
-                at.setdefault(r["path"], {})[r["kind"]] = r
-        files.append((name, at))
-    rows = compare(files, totals)
-    return pd.DataFrame([(key[0], key[1], f, c, a, b) for f, c, a, b in rows], columns=["feed", "producer", "file_name", "change_kind", "old_path", "new_path"])
+#: Files of a producer compared in one task, and files before them that only set the state they begin with.
+SEGMENT, CONTEXT = 512, 64
+
+
+def _per_segment(segment: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["place", "path", "kind"])
+        files: list[tuple[str, dict]] = []
+        totals: list[int] = []
+        before: set[str] = set()
+        for (place, name), part in pdf.groupby(["place", "file_name"], sort=True):
+            if place < key[2] * segment:
+                before.add(name)
+            at: dict[str, dict] = {}
+            for r in part.to_dict("records"):
+                if r["path"] == "":
+                    totals.append(int(r["records"]))
+                else:
+                    at.setdefault(r["path"], {})[r["kind"]] = r
+            files.append((name, at))
+        rows = [r for r in compare(files, totals) if r[0] not in before]
+        return pd.DataFrame([(key[0], key[1], f, c, a, b) for f, c, a, b in rows], columns=["feed", "producer", "file_name", "change_kind", "old_path", "new_path"])
+
+    return run
 
 
-def schema_changes(ingested: DataFrame) -> DataFrame:
-    """Every change of schema of every producer. Only profiles of files are gathered, some tens of rows for a file."""
+def schema_changes(ingested: DataFrame, segment: int = SEGMENT, context: int = CONTEXT) -> DataFrame:
+    """Every change of schema of every producer.
+
+    Only profiles of files are grouped, some tens of rows for a file, and at most segment files with context ones before
+    them in a task, so that a producer may have any number of files. Usual rates of members are those of the segment.
+    """
     profile = file_profile(ingested)
     whole = ingested.where("ok").groupBy("feed", "producer", "file_name", "landed_at").agg(F.count(F.lit(1)).alias("records"))
     zero = F.lit(0.0)
     whole = whole.select("feed", "producer", "file_name", "landed_at", F.lit("").alias("path"), F.lit("object").alias("kind"), "records", F.col("records").alias("n"), zero.alias("len"), zero.alias("num"), zero.alias("dig"), F.lit("").alias("shape_lo"), F.lit("").alias("shape_hi"))
-    return profile.unionByName(whole).groupBy("feed", "producer").applyInPandas(_per_producer, _CHANGES)
+    order = Window.partitionBy("feed", "producer").orderBy("landed_at", "file_name")
+    places = whole.select("feed", "producer", "file_name", "landed_at", (F.row_number().over(order) - 1).alias("place"))
+    rows = profile.unionByName(whole).join(places, ["feed", "producer", "file_name", "landed_at"])
+    own, after = F.floor(F.col("place") / segment).cast("int"), F.floor((F.col("place") + context) / segment).cast("int")
+    parts = rows.withColumn("segment", F.explode(F.array_distinct(F.array(own, after))))
+    return parts.groupBy("feed", "producer", "segment").applyInPandas(_per_segment(segment), _CHANGES)

@@ -161,7 +161,7 @@ def raw(spark, files, producer="p", feed="openai_chat"):
     for i, recs in enumerate(files):
         for j, rec in enumerate(recs):
             n += 1
-            rows.append((n, feed, producer, f"f{i:02}", j, f"2026-01-{i + 1:02} 00:00:00", rec if isinstance(rec, str) or rec is None else json.dumps(rec)))
+            rows.append((n, feed, producer, f"f{i:02}", j, f"2026-{1 + i // 28:02}-{1 + i % 28:02} 00:00:00", rec if isinstance(rec, str) or rec is None else json.dumps(rec)))
     return spark.createDataFrame(rows, "rec_id bigint, feed string, producer string, file_name string, line_no int, landed string, payload string").select("*", F.col("landed").cast("timestamp").alias("landed_at"), F.lit("clash").alias("typed"))
 
 
@@ -198,6 +198,15 @@ def test_optional_members_and_changes_back(spark):
     assert back == [("f01", "removed", "b", ""), ("f02", "added", "", "b")]
 
 
+def test_segments_of_many_files(spark):
+    r = random.Random(4)
+    make = lambda i: [{"id": f"r-{r.randint(1000, 9999)}", "n": 1} | ({"b": 2.5} if (i // 7) % 2 else {}) | ({"c": "x"} if i >= 20 else {"d": True}) for _ in range(6)]
+    files = [make(i) for i in range(33)]
+    want = changes(spark, files)
+    cut = sorted(tuple(x)[2:] for x in drift.schema_changes(drift.ingest(raw(spark, files)), 12, 9).collect())
+    assert cut == want and len(want) == 6
+
+
 def test_rescue_keeps_every_value_and_promotion_replays(spark):
     recs = [{"id": "a", "request": {"model": "m", "temperature": "hot", "messages": [{"role": "u"}], "seed": 4}, "new": {"x": [1]}}, {"id": 7, "request": {"temperature": "0.5"}}, {}, "{bad"]
     target = drift.TARGETS["openai_chat"]
