@@ -47,17 +47,18 @@ def tokens(traces: DataFrame) -> DataFrame:
     """Token columns of a trace: query, answer, chunks, references, and whether it retrieved and has a reference."""
     refs = F.filter(F.coalesce("ground_truth", F.array()), lambda r: r.isNotNull() & (F.length(F.trim(r)) > 0))
     query = F.coalesce(F.when(F.length("question") > 0, F.col("question")), F.col("prompt"), F.lit(""))
-    ctx = F.coalesce("retrieved_context", F.expr("CAST(array() AS array<struct<text:string,retriever_score:double,source_id:string,gold:boolean,char_span:struct<start:int,end:int>>>)"))
+    # Only the fields that are used are named, so that the scan reads no others.
+    none = lambda kind: F.expr(f"CAST(array() AS array<{kind}>)")
     return (
-        traces.withColumns({"query": query, "is_rag": F.col("retrieved_context").isNotNull(), "refs": refs})
+        traces.withColumns({"query": query, "is_rag": F.col("retrieved_context.text").isNotNull(), "refs": refs})
         .withColumns(
             {
                 "has_reference": F.size("refs") > 0,
                 "q_tok": X.token_set(F.col("query")),
                 "q_list": X.token_list(F.col("query")),
                 "a_list": X.token_list(F.col("generated_answer")),
-                "c_list": F.transform(ctx, lambda c: X.token_list(c["text"])),
-                "c_gold": F.transform(ctx, lambda c: F.coalesce(c["gold"], F.lit(False))),
+                "c_list": F.coalesce(F.transform("retrieved_context.text", lambda t: X.token_list(t)), none("array<string>")),
+                "c_gold": F.coalesce(F.transform("retrieved_context.gold", lambda g: F.coalesce(g, F.lit(False))), none("boolean")),
                 "r_tok": F.transform("refs", lambda r: X.token_set(r)),
             }
         )
