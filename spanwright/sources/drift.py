@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import emit, ship
+from ..session import emit, materialise, ship
 
 #: The columns each feed starts with: path and Spark type. Arrays end their own path; members below them stay JSON.
 TARGETS: dict[str, dict[str, str]] = {
@@ -54,8 +54,11 @@ def _shape(v: object) -> tuple[float, float, float, str]:
 
 
 def observe(record: dict) -> list[tuple]:
-    """(path, kind, n, mean length, mean size, mean digits, form) of each member path of a record, arrays as []."""
-    seen: dict[tuple[str, str], list] = {}
+    """(path, kind, n, mean length, mean size, mean digits, form) of each member path of a record, arrays as [].
+
+    The record itself is the path '', by which records are counted.
+    """
+    seen: dict[tuple[str, str], list] = {("", "object"): [1, 0.0, 0.0, 0.0, ""]}
     stack: list[tuple[str, object]] = [(k, v) for k, v in record.items()]
     while stack:
         path, v = stack.pop()
@@ -403,13 +406,11 @@ def schema_changes(ingested: DataFrame, segment: int = SEGMENT, context: int = C
     Only profiles of files are grouped, some tens of rows for a file, and at most segment files with context ones before
     them in a task, so that a producer may have any number of files. Usual rates of members are those of the segment.
     """
-    profile = file_profile(ingested)
-    whole = ingested.where("ok").groupBy("feed", "producer", "file_name", "landed_at").agg(F.count(F.lit(1)).alias("records"))
-    zero = F.lit(0.0)
-    whole = whole.select("feed", "producer", "file_name", "landed_at", F.lit("").alias("path"), F.lit("object").alias("kind"), "records", F.col("records").alias("n"), zero.alias("len"), zero.alias("num"), zero.alias("dig"), F.lit("").alias("shape_lo"), F.lit("").alias("shape_hi"))
+    # The profiles are small once made, and serve twice.
+    profile = materialise(file_profile(ingested), "profiles")
     order = Window.partitionBy("feed", "producer").orderBy("landed_at", "file_name")
-    places = whole.select("feed", "producer", "file_name", "landed_at", (F.row_number().over(order) - 1).alias("place"))
-    rows = profile.unionByName(whole).join(places, ["feed", "producer", "file_name", "landed_at"])
+    places = profile.where("path = ''").select("feed", "producer", "file_name", "landed_at", (F.row_number().over(order) - 1).alias("place"))
+    rows = profile.join(places, ["feed", "producer", "file_name", "landed_at"])
     own, after = F.floor(F.col("place") / segment).cast("int"), F.floor((F.col("place") + context) / segment).cast("int")
     parts = rows.withColumn("segment", F.explode(F.array_distinct(F.array(own, after))))
     return parts.groupBy("feed", "producer", "segment").applyInPandas(_per_segment(segment), _CHANGES)
