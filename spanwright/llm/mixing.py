@@ -19,7 +19,7 @@ from ..session import materialise
 from .sizes import running_start
 
 #: Tokens of a block, and the fractional part of the golden ratio.
-BLOCK, PHI = 2048, 0.6180339887498949
+BLOCK, PHI = 512, 0.6180339887498949
 _CHUNK = 1 << 14
 
 

@@ -40,13 +40,13 @@ _LANG = {
     "en": "the of and to in is are was were for with that this it its at on by from has have had be been not no which what when how many does did you your they their will can must each one into after before an than up since".split(),
     "de": "der die das den dem des und ist sind war wurde werden nicht mit von im in am zu auf für aus bei nach wie viele welches welchem ein eine einen wird hat haben dort auch sich über unter passen fasst muss innerhalb lang tage".split(),
     "es": "el la los las del de y es son fue en con por para que se un una al como más cuántos qué no su sin después antes está están desde hasta caben puede debe envía allí propio lo entró año".split(),
-    "fr": "le la les du des de et est sont été en dans avec par pour que qui une un au aux se ne pas sur plus combien quelle son sa ses après avant depuis jusqu doit peut garde contient c'est l'équipe y à où pendant s'occupe".split(),
+    "fr": "le la les du des de et est sont été en dans avec par pour que qui une un au aux se ne pas sur plus combien quelle son sa ses après avant depuis jusqu doit peut garde contient c'est l'équipe y à où pendant s'occupe été mise a-t il elle nous vous leur peut contenir".split(),
 }
 _VOTES: dict[str, list[str]] = {}
 for _l, _ws in _LANG.items():
     for _w in _ws:
         _VOTES.setdefault(_w, []).append(_l)
-_HINTS = ((re.compile(r"[äöüß]"), "de"), (re.compile(r"[¿¡ñ]|\w[áíó]"), "es"), (re.compile(r"[àâçèêëîïôœû]"), "fr"))
+_HINTS = ((re.compile(r"[äöüß]"), "de"), (re.compile(r"[¿¡ñ]|\w[áíó]"), "es"), (re.compile(r"[àâçèêëîïôœû]"), "fr"), (re.compile(r"\b(?:[ldcsnj]|qu)['’][a-zéèêàôœ]"), "fr"))
 _ASKED = re.compile(r"\b(?:answer|reply|respond|antworte\w*|responde\w*|réponds?|répondez|contest\w+)\b[^.?!\n]{0,24}?\b(?:in|auf|en)\s+(english|german|spanish|french|englisch|deutsch|spanisch|französisch|inglés|alemán|español|francés|anglais|allemand|espagnol|français)", re.I)
 _NAMES = {"english": "en", "englisch": "en", "inglés": "en", "anglais": "en", "german": "de", "deutsch": "de", "alemán": "de", "allemand": "de", "spanish": "es", "spanisch": "es", "español": "es", "espagnol": "es", "french": "fr", "französisch": "fr", "francés": "fr", "français": "fr"}
 
@@ -162,7 +162,8 @@ def defect(question: str | None, prompt: str | None, answer: str | None, cut: bo
     q = question_of(question, prompt)
     if q and is_copy(q, prompt or q, answer):
         return DEFECTS[3]
-    said = language(answer)
+    # A repeated question says nothing of the answer's language.
+    said = language(answer.replace(q.strip(), " ") if q.strip() else answer)
     if said and (prompt or q):
         wanted = language(q) or language(prompt or "")
         asked = {_NAMES[m.lower()] for m in _ASKED.findall(prompt or "")}
