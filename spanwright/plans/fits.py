@@ -190,6 +190,16 @@ SELECT mode, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision, roun
 SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(outcome::INT), 6) AS mean_outcome FROM b GROUP BY bin""",
         "calibration_grid": f"WITH {d}, l AS ({long}) SELECT CAST(least(floor(p * 20), 19) AS INTEGER) AS cell, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(true_::INT), 6) AS mean_y FROM l WHERE live GROUP BY 1",
         "family_ablation": " UNION ALL ".join(ablated),
+        "simulated_decisions": f"""
+WITH a AS (SELECT *, list_filter(coalesce(ground_truth, []), lambda r: length(trim(r)) > 0) AS refs, coalesce(retrieved_context, []) AS cs FROM labeled_inference),
+b AS (SELECT *, array_to_string(list_transform(cs, lambda c: coalesce(c.text, '')), ' ') AS joined, coalesce(refs[1], '') AS fact, coalesce(list_position(list_transform(cs, lambda c: coalesce(c.gold, false)), true), 0) - 1 AS flag FROM a),
+c AS (SELECT *, array_to_string({Q.tok("coalesce(prompt, '') || ' ' || joined")}, ' ') AS hay, array_to_string({Q.tok("fact")}, ' ') AS needle, len({Q.tok("joined")}) AS words FROM b),
+d AS (SELECT *, flag >= 0 OR (length(needle) > 0 AND contains(hay, needle)) AS gold, CASE WHEN flag >= 0 AND len(cs) > 1 THEN flag::DOUBLE / (len(cs) - 1) ELSE 0.0 END AS pos FROM c)
+SELECT CASE WHEN gold AND NOT (len(cs) >= 5 AND pos >= 0.2 AND pos <= 0.8 AND words > 150) THEN 'grounded' ELSE 'fabricated' END AS kind, gold AS gold_present, count(*) AS n FROM d GROUP BY ALL""",
+        "conformal_fit": f"""WITH {d}, pl AS (SELECT live, mass, coalesce(list_position(list_transform(live, lambda x: list_contains(labels, x.m)), true), 0) AS a FROM d WHERE len(labels) > 0),
+sc AS (SELECT CASE WHEN a > 0 THEN round(list_sum(list_transform(list_slice(live, 1, a), lambda x: x.p)) / mass, 6) ELSE 1.0 END AS score FROM pl),
+rk AS (SELECT score, row_number() OVER (ORDER BY score) AS i, count(*) OVER () AS n FROM sc)
+SELECT max(n) AS n, least(min(score), {1 - 1e-6}) AS tau FROM rk WHERE i >= least(ceil((n + 1) * {1 - C.ALPHA}), n)""",
         "override_slice": f"""WITH {d}, o AS (SELECT i.injection_recipe = 'hallucination_override' AS o, NOT abstained AND primary_mode = 'hallucination' AS said FROM d JOIN labeled_inference i USING (row_no) WHERE i.injection_recipe IN ('hallucination_override', 'context_dilution')),
 n AS (SELECT count(*) FILTER (WHERE o AND said) AS tp, count(*) FILTER (WHERE NOT o AND said) AS fp, count(*) FILTER (WHERE o AND NOT said) AS fn, count(*) FILTER (WHERE NOT o AND NOT said) AS tn FROM o)
 SELECT *, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1 FROM n""",

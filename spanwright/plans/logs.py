@@ -225,6 +225,11 @@ SELECT coalesce(source, '') AS source, sum(len(l))::BIGINT AS tokens, sum(len(s)
         "entropy_events": """
 WITH n AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL), p AS (SELECT user_id, c::DOUBLE / sum(c) OVER (PARTITION BY user_id) AS p FROM n)
 SELECT user_id, round(CASE WHEN count(*) > 1 THEN greatest(-sum(p * ln(p)) / ln(count(*)), 0.0) ELSE 0.0 END, 6) AS entropy FROM p GROUP BY user_id""",
+        "cache_keys": """
+SELECT row_no, left(sha1(concat_ws(chr(29), 'log', 'black', coalesce(prompt, ''), coalesce(question, ''), coalesce(generated_answer, ''),
+  CASE WHEN retrieved_context IS NULL THEN '-' ELSE array_to_string(list_transform(retrieved_context, lambda c: concat_ws(chr(31), coalesce(c.text, ''), coalesce(CAST(round(c.retriever_score, 6) AS VARCHAR), '0.0'), coalesce(CAST(c.gold AS VARCHAR), 'null'))), chr(30)) END,
+  array_to_string(list_transform(coalesce(ground_truth, []), lambda g: coalesce(g, 'null')), chr(30)))), 16) AS cache_key FROM inference""",
+        "cached_signals": f"WITH {Q.features('labeled_inference')}, k AS (SELECT row_no, concat_ws(chr(29), prompt, coalesce(question, ''), generated_answer, CAST(retrieved_context AS VARCHAR), CAST(ground_truth AS VARCHAR)) AS c FROM labeled_inference) SELECT count(*) AS traces, count(DISTINCT c) AS contents, round(avg(answer_length_tokens), 6) AS mean_answer_tokens FROM f JOIN k USING (row_no)",
         "hash_split": """
 WITH r AS (SELECT row_no, row_number() OVER (ORDER BY sha1(coalesce(prompt, '')), row_no) - 1 AS i, count(*) OVER () AS n FROM labeled_inference)
 SELECT row_no, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * 0.6) + floor(n * 0.2) THEN 'cal' ELSE 'test' END AS part, ['white', 'grey', 'black'][(i % 3) + 1] AS tier FROM r""",
