@@ -1,12 +1,16 @@
 """Evaluation records that also stand, the same or nearly so, in the training split.
 
-The question of each evaluation record is normalised; equal ones are one passage. The rare words of every passage are
-the patterns of Aho-Corasick automata, sharded by word in the shared folder. Every training text is scanned whole by
-each shard; around each hit the passage is matched against the text, and the matched intervals are merged into its
-coverage. A passage is found where most of it is covered and no word that names something else lies within.
-
-Rarity is counted over all passages. Nothing is gathered: workers read the shards from the shared folder, and only the
-words more common than one in a thousand passages are sent along, at most a thousand times the mean passage length.
+The question of each evaluation record is normalised; equal ones are one passage. The names of every passage, and its
+other words that are not common, are the patterns of Aho-Corasick automata, sharded by word in the shared folder. Every
+training text is scanned whole by each shard; around each hit the passage is matched against the text, and the matched
+intervals are merged into its coverage. A passage is found where most of it is covered and no word that names something
+else lies within. A passage and a text may share common words only; their skeletons, with a mark for each name, are then
+matched likewise, by as many of the rarest common words that half of the passage can't do without one of them.
+
+A word is common where more than one in a thousand passages have it and it is not a name; a name is told by the places it
+stands in, which take many other words, so an entity stays one however often it is asked about. Nothing is gathered:
+workers read the shards from the shared folder, and only the common words are sent along, at most a thousand times the
+mean passage length.
 Null questions are taken from the prompt; rows without any words have no passage; repeated rows are each a row of the
 result; splits are read without case and outer blanks, other splits are ignored; an empty table gives an empty result.
 """
@@ -22,13 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import emit, ship, work_dir
+from ..session import emit, materialise, ship, work_dir
 from .pairs import tokens
 
 #: A word in at most this share of passages (or this many) is rare; a passage must be covered by this share.
 RARE_SHARE, RARE_COUNT, COVERAGE = 0.001, 20, 0.7
 SHARD_ROWS = 150_000
-GAP = "\x00"
+#: A place that this many words take is one for names; rows of a question are dealt to this many tasks.
+FILLERS, SALTS = 5, 8
+GAP, OWN_NAME, OTHER_NAME = "\x00", "\x01", "\x02"
 
 
 def _fold(text: str | None) -> list[str]:
@@ -108,57 +114,124 @@ def coverage(passage: list[str], text: list[str], at: int, common: frozenset[str
     return (len(in_p) + spelt) / max(len(passage), len(win))
 
 
-def _scan(folder: str, shards: int, common: frozenset[str]):
+class Spelling:
+    """The common words, and those a word may be a misspelling of; near() is asked only where a cut of both agrees."""
+
+    def __init__(self, common: frozenset[str]):
+        self.common, self.cuts, self.known = common, {}, {}
+        for w in common:
+            for c in self._cut(w):
+                self.cuts.setdefault(c, []).append(w)
+
+    @staticmethod
+    def _cut(w: str) -> set[str]:
+        return {w[:i] + w[i + n :] for n in range(3) for i in range(len(w) - n + 1)}
+
+    def named(self, w: str) -> bool:
+        """Whether a word is neither common nor near a common one."""
+        if w in self.common:
+            return False
+        if w not in self.known:
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            self.known[w] = not any(near(w, v) for c in self._cut(w) for v in self.cuts.get(c, ()))
+        return self.known[w]
+
+    def skeleton(self, words: list[str], mark: str) -> str:
+        return " ".join(mark if self.named(w) else w for w in words)
+
+
+def _patterns(common: frozenset[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spelling = Spelling(common)
+        for pdf in batches:
+            words = [p.split(" ") for p in pdf["passage"]]
+            out = pdf[["class_id", "passage"]].reset_index(drop=True)
+            out["skeleton"] = [spelling.skeleton(ws, OWN_NAME) for ws in words]
+            out["anchors"] = [sorted({w for w in ws if w not in common}) for ws in words]
+            yield from emit(out)
+
+    return run
+
+
+def _matches(words: list[list[str]], owners: dict[str, list[int]], sentences: list[str], common: frozenset[str]) -> Iterator[tuple[int, int, float]]:
+    """(passage, sentence, coverage) of all passages that cover some place of a sentence; owners: passages by anchor."""
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for a, ks in owners.items():
+        auto.add_word(f" {a} ", (a, ks))
+    auto.make_automaton()
+    for i, text in enumerate(sentences):
+        t, starts, at = [GAP, *text.split(" "), GAP], {}, 0
+        for k, w in enumerate(t):
+            starts[at] = k
+            at += len(w) + 1
+        best: dict[int, float] = {}
+        for end, (a, ks) in auto.iter(" " + " ".join(t) + " "):
+            at = starts[end - len(a) - 1]
+            for k in ks:
+                if best.get(k, 0.0) < 1.0:
+                    c = coverage(words[k], t, at, common)
+                    if c >= COVERAGE:
+                        best[k] = max(c, best.get(k, 0.0))
+        for k, c in best.items():
+            yield k, i, c
+
+
+def _scan(folder: str, shards: int, common: frozenset[str], df: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        rows: list[tuple[int, list[str]]] = []
+        spelling = Spelling(common)
+        rows: dict[str, list[int]] = {}
+
+        def hits(ids: list[str], found: Iterator[tuple[int, int, float]], holders: list[list[int]]) -> Iterator[pd.DataFrame]:
+            out = []
+            for k, i, c in found:
+                out += [(ids[k], n, c) for n in holders[i]]
+                if len(out) > 100_000:
+                    yield from emit(pd.DataFrame(out, columns=["key", "train_row", "coverage"]))
+                    out = []
+            yield from emit(pd.DataFrame(out, columns=["key", "train_row", "coverage"]))
 
         def flush() -> Iterator[pd.DataFrame]:
             files, root = fs.FileSystem.from_uri(folder)
-            joined = [" " + " ".join(t) + " " for _, t in rows]
-            starts = []
-            for _, t in rows:
-                at, own = 0, {}
-                for i, w in enumerate(t):
-                    own[at] = i
-                    at += len(w) + 1
-                starts.append(own)
+            sentences, holders = list(rows), list(rows.values())
+            # Passages and texts that share a name, or any other word that is not common.
             for s in range(shards):
-                if files.get_file_info(f"{root}/shard={s}").type == fs.FileType.NotFound:
+                if files.get_file_info(f"{root}/shards/shard={s}").type == fs.FileType.NotFound:
                     continue
-                part = pq.read_table(f"{root}/shard={s}", filesystem=files, columns=["anchor", "class_id", "passage"])
+                part = pq.read_table(f"{root}/shards/shard={s}", filesystem=files, columns=["anchor", "class_id", "passage"])
                 owners: dict[str, list[int]] = {}
                 for k, a in enumerate(part["anchor"].to_pylist()):
                     owners.setdefault(a, []).append(k)
-                if not owners:
-                    continue
-                ids, words = part["class_id"].to_pylist(), [p.split(" ") for p in part["passage"].to_pylist()]
-                auto = ahocorasick.Automaton()
-                for a, ks in owners.items():
-                    auto.add_word(f" {a} ", (a, ks))
-                auto.make_automaton()
-                out = []
-                for (row_no, t), text, own in zip(rows, joined, starts, strict=True):
-                    best: dict[int, float] = {}
-                    for end, (a, ks) in auto.iter(text):
-                        at = own[end - len(a) - 1]
-                        for k in ks:
-                            if best.get(k, 0.0) < 1.0:
-                                c = coverage(words[k], t, at, common)
-                                if c >= COVERAGE:
-                                    best[k] = max(c, best.get(k, 0.0))
-                    out += [(ids[k], row_no, c) for k, c in best.items()]
-                yield from emit(pd.DataFrame(out, columns=["class_id", "train_row", "coverage"]))
+                words = [p.split(" ") for p in part["passage"].to_pylist()]
+                yield from hits(part["class_id"].to_pylist(), _matches(words, owners, sentences, common), holders)
+            # Those that share none: which names they have is then of no matter, and few skeletons are left.
+            bare: dict[str, set[int]] = {}
+            for text, ns in rows.items():
+                bare.setdefault(spelling.skeleton(text.split(" "), OTHER_NAME), set()).update(ns)
+            sentences, holders = list(bare), [sorted(ns) for ns in bare.values()]
+            for batch in pq.ParquetDataset(f"{root}/skeletons", filesystem=files).fragments:
+                for part in batch.to_batches(batch_size=SHARD_ROWS, columns=["key", "skeleton"]):
+                    words = [p.split(" ") for p in part["skeleton"].to_pylist()]
+                    owners = {}
+                    for k, ws in enumerate(words):
+                        for a in prefix(ws, df):
+                            owners.setdefault(a, []).append(k)
+                    if owners:
+                        yield from hits(part["key"].to_pylist(), _matches(words, owners, sentences, common), holders)
             rows.clear()
 
         size = 0
         for pdf in batches:
             for n, q, p in zip(pdf["row_no"], pdf["question"], pdf["prompt"], strict=True):
                 t = _marked(q if isinstance(q, str) else None) + _marked(p if isinstance(p, str) else None)
-                rows.append((n, t))
+                # Equal sentences are scanned once.
+                for text in {x.strip() for x in " ".join(t).split(GAP)} - {""}:
+                    rows.setdefault(text, []).append(n)
                 size += len(t)
                 # A million words are held at a time, so that the shards are loaded few times.
                 if size > 1_000_000:
@@ -170,6 +243,27 @@ def _scan(folder: str, shards: int, common: frozenset[str]):
     return run
 
 
+def prefix(words: list[str], df: dict[str, int]) -> set[str]:
+    """The rarest common words of a skeleton; a text that has half of its words must hold one of them."""
+    known = sorted((w for w in words if w != OWN_NAME), key=lambda w: (df.get(w, 0), w))
+    return set(known[: max(0, len(known) - math.ceil(len(words) / 2) + 1)])
+
+
+def slot_words(asked: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(w): the frequent words that are names, since the places they mostly stand in take many words.
+
+    A place is a passage without one of its words. Its fillers count once, however often they are asked about, and
+    misspellings of its usual filler are none.
+    """
+    texts = asked.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).select("n", F.split("passage", " ").alias("ws"))
+    slots = texts.select("n", "ws", F.posexplode("ws").alias("i", "w")).select("n", "w", F.expr("xxhash64(slice(ws, 1, i), slice(ws, i + 2, size(ws)), i)").alias("slot"))
+    fills = slots.groupBy("slot", "w").agg(F.sum("n").alias("n"))
+    usual = fills.groupBy("slot").agg(F.max_by("w", F.struct("n", "w")).alias("usual"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= FILLERS)
+    takes = fills.join(usual, "slot").groupBy("slot").agg(F.count_if((F.col("w") == F.col("usual")) | (F.levenshtein("w", "usual") > 2)).alias("kinds")).where(F.col("kinds") >= FILLERS)
+    placed = fills.join(frequent, "w").join(takes, "slot", "left")
+    return placed.groupBy("w").agg((F.sum(F.when(F.col("kinds").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("share")).where("share > 0.5").select("w")
+
+
 def overlaps(labeled: DataFrame) -> DataFrame:
     """(eval_row, train_row, coverage): every evaluation row with every training row that asks its question."""
     spark = labeled.sparkSession
@@ -183,23 +277,29 @@ def overlaps(labeled: DataFrame) -> DataFrame:
     asked = spark.read.parquet(f"{folder}/passages")
     words = asked.select(F.explode(F.array_distinct(F.split("passage", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     limit = max(RARE_COUNT, math.ceil(RARE_SHARE * asked.count()))
-    common = frozenset(r["w"] for r in words.where(F.col("df") > limit).collect())
+    words.where(F.col("df") > limit).write.parquet(f"{folder}/frequent")
+    frequent = spark.read.parquet(f"{folder}/frequent")
+    df = {r["w"]: r["df"] for r in frequent.join(slot_words(asked, frequent.select("w")), "w", "left_anti").collect()}
+    common = frozenset(df)
     classes = asked.where("side = 'eval'").select("passage").distinct().withColumn("class_id", F.md5("passage"))
-    tokens_of = classes.select("class_id", "passage", F.explode(F.array_distinct(F.split("passage", " "))).alias("w"))
-    known = tokens_of.join(words, "w")
-    # Each rare word of a passage is a pattern; a passage without any gets its rarest word.
-    least = known.groupBy("class_id").agg(F.min(F.struct("df", "w")).alias("least"))
-    anchors = known.join(least, "class_id").where((F.col("df") <= limit) | (F.col("w") == F.col("least.w"))).select("class_id", "passage", F.col("w").alias("anchor"))
-    anchors.write.parquet(f"{folder}/anchors")
-    anchors = spark.read.parquet(f"{folder}/anchors")
+    classes.mapInPandas(_patterns(common), "class_id string, passage string, skeleton string, anchors array<string>").withColumn("key", F.md5("skeleton")).write.parquet(f"{folder}/classes")
+    classes = spark.read.parquet(f"{folder}/classes")
+    # Each word of a passage that is not common is a pattern; skeletons get theirs when they are scanned.
+    anchors = classes.select("class_id", "passage", F.explode("anchors").alias("anchor"))
     shards = max(1, math.ceil(anchors.count() / SHARD_ROWS))
     anchors.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(f"{folder}/shards")
-    uri = f"{folder}/shards" if "://" in folder else f"file://{folder}/shards"
+    classes.select("key", "skeleton").distinct().write.parquet(f"{folder}/skeletons")
+    uri = folder if "://" in folder else f"file://{folder}"
     train = rows.where("side = 'train'").select("row_no", "question", "prompt")
-    hits = train.mapInPandas(_scan(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri, shards, common), "class_id string, train_row bigint, coverage double")
-    hits = hits.groupBy("class_id", "train_row").agg(F.max("coverage").alias("coverage"))
+    hits = materialise(train.mapInPandas(_scan(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri, shards, common, df), "key string, train_row bigint, coverage double"), "overlap-hits")
     own = asked.where("side = 'eval'").select(F.md5("passage").alias("class_id"), F.col("row_no").alias("eval_row"))
-    return own.join(hits, "class_id").select("eval_row", "train_row", F.round("coverage", 6).alias("coverage"))
+    bare = hits.join(classes.select("key", "class_id"), "key").select("class_id", "train_row", "coverage")
+    hits = hits.select(F.col("key").alias("class_id"), "train_row", "coverage").unionByName(bare)
+    hits = hits.groupBy("class_id", "train_row").agg(F.max("coverage").alias("coverage"))
+    # A question asked in many rows of both splits is dealt to several tasks.
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = hits.withColumn("salt", F.pmod(F.xxhash64("train_row"), F.lit(SALTS)).cast("int"))
+    return own.join(hits, ["class_id", "salt"]).select("eval_row", "train_row", F.round("coverage", 6).alias("coverage"))
 
 
 def overlap_report(labeled: DataFrame, found: DataFrame) -> DataFrame:

@@ -39,3 +39,30 @@ def test_pairs_and_edges(spark):
     rep = {(r.split, r.source): (r.eval_rows, r.overlapping, r.pairs, r.same_labels) for r in O.overlap_report(df, found).collect()}
     assert rep[("test", "a")] == (2, 1, 2, 1) and rep[("validation", "")] == (1, 0, 0, 0)
     assert O.overlaps(df.limit(0)).count() == 0
+
+
+def test_hot_entity(spark):
+    q = "Which team owns the {} pipeline?"
+    names = [f"{a}o{b}uta" for a in "bdfgklmn" for b in "prstvz"]
+    rows = [(i, q.format("Vekufoki"), "train") for i in range(30)] + [(30 + i, q.format("Sadomira"), "train") for i in range(30)]
+    rows += [(100 + i, q.format(n), "train") for i, n in enumerate(names)]
+    rows += [
+        (200, "Which team owns the Vekufoki pipeline exactly?", "test"),
+        (201, "Which team owns the Vekufoki pipelinne?", "test"),
+        (202, q.format("Vekufoki"), "validation"),
+        (203, q.format("Sadomira") + " Thanks", "validation"),
+        (204, "Which team owns the pipeline?", "test"),
+        (205, "Which team owns this pipeline", "train"),
+    ]
+    df = spark.createDataFrame([(n, x, x, s) for n, x, s in rows], "row_no bigint, question string, prompt string, split string")
+    found = {(r.eval_row, r.train_row) for r in O.overlaps(df).collect()}
+    want = {(e, i) for e in (200, 201, 202) for i in range(30)} | {(203, 30 + i) for i in range(30)}
+    assert {x for x in found if x[0] < 204} == want
+    assert (204, 205) in found
+
+
+def test_common_words_only(spark):
+    # Nothing but common words is shared, and 'exactly' is the only rare one.
+    rows = [(i, "Which team owns the Vekufoki pipeline?", "train") for i in range(30)] + [(99, "Which team owns the Vekufoki pipeline exactly?", "test")]
+    df = spark.createDataFrame([(n, x, x, s) for n, x, s in rows], "row_no bigint, question string, prompt string, split string")
+    assert {(r.eval_row, r.train_row) for r in O.overlaps(df).collect()} == {(99, i) for i in range(30)}
