@@ -218,64 +218,76 @@ def _names(a: str, b: str) -> float:
     return len(p & q) / max(1, len(p | q))
 
 
-def compare(files: list[tuple[str, dict[str, dict]]], totals: list[int]) -> list[tuple[str, str, str, str]]:
-    """(file, change, old path, new path) of one producer. files: in order, each path's kinds {kind: profile}.
+def parents(paths: set[str]) -> dict[str, str]:
+    """The longest path each path lies below; '' for members of the record itself."""
+    out = {}
+    for p in paths:
+        ends = (k for k in range(len(p) - 1, 0, -1) if p[k] == "." or p[k : k + 2] == "[]")
+        out[p] = next((p[:k] for k in ends if p[:k] in paths), "")
+    return out
+
 
-    A member that is optional may be missing from a small file by chance: it counts as removed only where that many
-    records without it are unlikely at its usual rate, and a member first seen late as added likewise.
+def course(counts: list[int], bases: list[int], kinds: dict[int, dict[str, int]]) -> tuple[float, list[bool], list[int]]:
+    """(usual rate, presence by file, files where the kind changes) of one member over all files of its producer.
+
+    counts: records of each file that have it; bases: records of each file that could; kinds: records by kind where it
+    isn't null. A member that is optional may be missing from a small file by chance: it counts as removed only where
+    that many records without it are unlikely at its usual rate, and a member first seen late as added likewise.
     """
-    paths = sorted({p for _, ps in files for p in ps})
+    n = len(counts)
+    full = sum(b for c, b in zip(counts, bases, strict=True) if c)
+    rate = min(0.999, max(0.05, sum(counts) / full if full else 0.05))
+    on = [c > 0 for c in counts]
+    i = 0
+    while i < n:
+        if on[i]:
+            i += 1
+            continue
+        j = i
+        while j < n and not on[j]:
+            j += 1
+        rows = sum(bases[i:j])
+        if rows == 0:
+            # The parent is away: no statement about the member.
+            fill = on[i - 1] if i else (on[j] if j < n else False)
+            on[i:j] = [fill] * (j - i)
+        elif rate < 0.9 and (1 - rate) ** rows > 1e-3:
+            on[i:j] = [True] * (j - i)
+        i = j
+    turns: list[int] = []
+    last: str | None = None
+    for i in sorted(kinds):
+        if last is None or (i and not on[i - 1]):
+            last = max(kinds[i], key=kinds[i].get)
+        elif others := [k for k in kinds[i] if k != last]:
+            last = max(others, key=kinds[i].get)
+            turns.append(i)
+    return rate, on, turns
+
+
+def compare(files: list[dict[str, dict]], totals: list[int], parent_of: dict[str, str], rate: dict[str, float], state: dict[str, list[bool]], turns: dict[str, set[int]]) -> list[tuple[int, str, str, str]]:
+    """(file, change, old path, new path) of consecutive files. files: in order, each path's kinds {kind: profile}.
+
+    parent_of, rate, state and turns are those of all files of the producer, state and turns at the places of these.
+    """
+    paths = sorted(parent_of)
     n = len(files)
 
     def count(i: int, p: str) -> int:
-        return sum(k["records"] for k in files[i][1].get(p, {}).values())
+        return sum(k["records"] for k in files[i].get(p, {}).values())
 
     def base(i: int, p: str) -> int:
         up = parent_of[p]
         if up == "":
             return totals[i]
-        return sum(s["records"] for k, s in files[i][1].get(up, {}).items() if k in ("object", "array"))
+        return sum(s["records"] for k, s in files[i].get(up, {}).items() if k in ("object", "array"))
 
-    dotted: dict[str, str] = {}
-    for p in paths:
-        best = ""
-        for q in paths:
-            if q != p and len(q) > len(best) and (p.startswith(q + ".") or p.startswith(q + "[]")):
-                best = q
-        dotted[p] = best
-    parent_of = dotted
-    rate: dict[str, float] = {}
-    for p in paths:
-        have = [(count(i, p), base(i, p)) for i in range(n) if count(i, p)]
-        full = sum(b for _, b in have)
-        rate[p] = min(0.999, max(0.05, sum(c for c, _ in have) / full if full else 0.05))
-    # Presence of each path by file, with chance gaps of optional members closed.
-    state: dict[str, list[bool]] = {}
-    for p in paths:
-        on = [count(i, p) > 0 for i in range(n)]
-        i = 0
-        while i < n:
-            if on[i]:
-                i += 1
-                continue
-            j = i
-            while j < n and not on[j]:
-                j += 1
-            rows = sum(base(k, p) for k in range(i, j))
-            if rows == 0:
-                # The parent is away: no statement about the member.
-                fill = on[i - 1] if i else (on[j] if j < n else False)
-                on[i:j] = [fill] * (j - i)
-            elif rate[p] < 0.9 and (1 - rate[p]) ** rows > 1e-3:
-                on[i:j] = [True] * (j - i)
-            i = j
-        state[p] = on
-    out: list[tuple[str, str, str, str]] = []
+    out: list[tuple[int, str, str, str]] = []
 
     def profile(p: str, idx: range) -> dict | None:
         acc: dict[str, list] = {}
         for i in idx:
-            for kind, s in files[i][1].get(p, {}).items():
+            for kind, s in files[i].get(p, {}).items():
                 if kind != "null":
                     acc.setdefault(kind, []).append(s)
         if not acc:
@@ -293,29 +305,20 @@ def compare(files: list[tuple[str, dict[str, dict]]], totals: list[int]) -> list
         while q:
             if (i, q) in covered:
                 return True
-            q = parent_of[q]
+            q = parent_of.get(q, "")
         return False
 
     born = {i: [p for p in paths if state[p][i] and not state[p][i - 1]] for i in range(1, n)}
     gone = {i: [p for p in paths if not state[p][i] and state[p][i - 1]] for i in range(1, n)}
-    last_kind: dict[str, str] = {}
     renamed_away: dict[str, int] = {}
     for i in range(n):
         new, old = list(born.get(i, [])), list(gone.get(i, []))
         # Fields whose kind changes come first, since they cover what lies below them.
         for p in paths:
-            kinds = {k: s["records"] for k, s in files[i][1].get(p, {}).items() if k != "null"}
-            if not kinds:
-                continue
-            was = last_kind.get(p)
-            if was is None or (i and not state[p][i - 1]):
-                last_kind[p] = max(kinds, key=kinds.get)
-            elif set(kinds) - {was}:
-                to = max((k for k in kinds if k != was), key=kinds.get)
-                last_kind[p] = to
+            if i in turns[p]:
                 covered.add((i, p))
                 if not under(i, p):
-                    out.append((files[i][0], "type_changed", p, p))
+                    out.append((i, "type_changed", p, p))
         if not i:
             continue
         # A renamed member: the old one is gone here, or goes within the next files as this one mixes both.
@@ -351,7 +354,7 @@ def compare(files: list[tuple[str, dict[str, dict]]], totals: list[int]) -> list
             used |= {p, q}
             renamed_away[p] = i
             covered |= {(i, p), (i, q), (i + 1, p)}
-            out.append((files[i][0], "renamed", p, q))
+            out.append((i, "renamed", p, q))
         for q in sorted(new):
             if q in used or under(i, q):
                 continue
@@ -359,7 +362,7 @@ def compare(files: list[tuple[str, dict[str, dict]]], totals: list[int]) -> list
                 covered.add((i, q))
                 continue
             covered.add((i, q))
-            out.append((files[i][0], "added", "", q))
+            out.append((i, "added", "", q))
         for p in sorted(old):
             if p in used or renamed_away.get(p, -9) >= i - 1 or under(i, p):
                 continue
@@ -367,35 +370,66 @@ def compare(files: list[tuple[str, dict[str, dict]]], totals: list[int]) -> list
             if up and (up in old or base(i, p) == 0):
                 continue
             covered.add((i, p))
-            out.append((files[i][0], "removed", p, ""))
+            out.append((i, "removed", p, ""))
     return out
 
 
 _CHANGES = "feed string, producer string, file_name string, change_kind string, old_path string, new_path string"
 
 
-#: Files of a producer compared in one task, and files before them that only set the state they begin with.
+#: Files of a producer compared in one task, and files on either side of them that are only looked at.
 SEGMENT, CONTEXT = 512, 64
+_COURSE = "feed string, producer string, segment int, path string, parent string, rate double, state array<boolean>, turns array<int>"
+
 
+def _parents(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    up = parents(set(pdf["path"]))
+    return pd.DataFrame([(key[0], key[1], p, q) for p, q in up.items()], columns=["feed", "producer", "path", "parent"])
 
-def _per_segment(segment: int):
+
+def _course(segment: int, context: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["files"].iloc[0])
+        counts, bases, kinds = [0] * n, [0] * n, {}
+        pdf = pdf.sort_values(["place", "kind"])
+        for place, kind, records in zip(pdf["place"].tolist(), pdf["kind"].tolist(), pdf["records"].tolist(), strict=True):
+            if kind == "":
+                bases[place] += records
+                continue
+            counts[place] += records
+            if kind != "null":
+                kinds.setdefault(place, {})[kind] = records
+        rate, on, turns = course(counts, bases, kinds)
+        out = []
+        for s in range(math.ceil(n / segment)):
+            lo, hi = max(0, s * segment - context), (s + 1) * segment + context
+            # A segment that never has the member needs nothing of it.
+            if any(on[lo:hi]):
+                out.append((key[0], key[1], s, key[2], key[3], rate, on[lo:hi], [i - lo for i in turns if lo <= i < hi]))
+        return pd.DataFrame(out, columns=["feed", "producer", "segment", "path", "parent", "rate", "state", "turns"])
+
+    return run
+
+
+def _per_segment(segment: int, context: int):
+    def run(key: tuple, pdf: pd.DataFrame, courses: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["place", "path", "kind"])
-        files: list[tuple[str, dict]] = []
+        names: list[str] = []
+        files: list[dict] = []
         totals: list[int] = []
-        before: set[str] = set()
-        for (place, name), part in pdf.groupby(["place", "file_name"], sort=True):
-            if place < key[2] * segment:
-                before.add(name)
+        for (_, name), part in pdf.groupby(["place", "file_name"], sort=True):
             at: dict[str, dict] = {}
             for r in part.to_dict("records"):
                 if r["path"] == "":
                     totals.append(int(r["records"]))
                 else:
                     at.setdefault(r["path"], {})[r["kind"]] = r
-            files.append((name, at))
-        rows = [r for r in compare(files, totals) if r[0] not in before]
-        return pd.DataFrame([(key[0], key[1], f, c, a, b) for f, c, a, b in rows], columns=["feed", "producer", "file_name", "change_kind", "old_path", "new_path"])
+            names.append(name)
+            files.append(at)
+        by = courses.set_index("path")
+        rows = compare(files, totals, by["parent"].to_dict(), by["rate"].to_dict(), {p: list(x) for p, x in by["state"].items()}, {p: set(x) for p, x in by["turns"].items()})
+        first = key[2] * segment - max(0, key[2] * segment - context)
+        return pd.DataFrame([(key[0], key[1], names[i], c, a, b) for i, c, a, b in rows if first <= i < first + segment], columns=["feed", "producer", "file_name", "change_kind", "old_path", "new_path"])
 
     return run
 
@@ -403,14 +437,26 @@ def _per_segment(segment: int):
 def schema_changes(ingested: DataFrame, segment: int = SEGMENT, context: int = CONTEXT) -> DataFrame:
     """Every change of schema of every producer.
 
-    Only profiles of files are grouped, some tens of rows for a file, and at most segment files with context ones before
-    them in a task, so that a producer may have any number of files. Usual rates of members are those of the segment.
+    The usual rate of a member, where it is present and where its kind changes are taken from all files of its producer,
+    member by member, some numbers for a file. Only then are profiles of files grouped, some tens of rows for a file, and
+    at most segment files with context ones on either side in a task, so that a producer may have any number of files and
+    the changes are the same however they are cut. A change is told from six files on either side.
     """
-    # The profiles are small once made, and serve twice.
+    # The profiles are small once made, and serve several times.
     profile = materialise(file_profile(ingested), "profiles")
-    order = Window.partitionBy("feed", "producer").orderBy("landed_at", "file_name")
-    places = profile.where("path = ''").select("feed", "producer", "file_name", "landed_at", (F.row_number().over(order) - 1).alias("place"))
-    rows = profile.join(places, ["feed", "producer", "file_name", "landed_at"])
-    own, after = F.floor(F.col("place") / segment).cast("int"), F.floor((F.col("place") + context) / segment).cast("int")
-    parts = rows.withColumn("segment", F.explode(F.array_distinct(F.array(own, after))))
-    return parts.groupBy("feed", "producer", "segment").applyInPandas(_per_segment(segment), _CHANGES)
+    by = ["feed", "producer"]
+    order = Window.partitionBy(*by).orderBy("landed_at", "file_name")
+    places = profile.where("path = ''").select(*by, "file_name", "landed_at", (F.row_number().over(order) - 1).alias("place"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("files"))
+    rows = materialise(profile.join(places, [*by, "file_name", "landed_at"]), "places")
+    members = rows.where("path <> ''")
+    up = members.select(*by, "path").distinct().groupBy(*by).applyInPandas(_parents, "feed string, producer string, path string, parent string")
+    up = materialise(up, "parents")
+    own = members.join(up, [*by, "path"]).select(*by, "path", "parent", "place", "files", "kind", "records")
+    # The records that could have a member: those of the file, or those whose parent holds members.
+    could = rows.where("path = '' or kind in ('object', 'array')").groupBy(*by, F.col("path").alias("parent"), "place", "files").agg(F.sum("records").alias("records"))
+    could = could.join(up, [*by, "parent"]).select(*by, "path", "parent", "place", "files", F.lit("").alias("kind"), "records")
+    courses = own.unionByName(could).groupBy(*by, "path", "parent").applyInPandas(_course(segment, context), _COURSE)
+    first = F.floor(F.greatest(F.col("place") - context, F.lit(0)) / segment).cast("int")
+    last = F.floor(F.least(F.col("place") + context, F.col("files") - 1) / segment).cast("int")
+    parts = rows.withColumn("segment", F.explode(F.sequence(first, last))).drop("files")
+    return parts.groupBy(*by, "segment").cogroup(courses.groupBy(*by, "segment")).applyInPandas(_per_segment(segment, context), _CHANGES)

@@ -207,6 +207,16 @@ def test_segments_of_many_files(spark):
     assert cut == want and len(want) == 6
 
 
+def test_removal_at_the_edge_of_a_segment(spark):
+    # 'b' is optional and goes for good in the last file of the first segment; 'k' has two kinds in every file.
+    some = lambda i: {"b": 2.5} if i < 11 else {}
+    files = [[{"a": 1, "k": 1} | some(i), {"a": 1, "k": "x"}, {"a": 2, "k": 2}] for i in range(30)]
+    want = changes(spark, files)
+    cut = sorted(tuple(x)[2:] for x in drift.schema_changes(drift.ingest(raw(spark, files)), 12, 9).collect())
+    assert ("f11", "removed", "b", "") in want
+    assert cut == want
+
+
 def test_rescue_keeps_every_value_and_promotion_replays(spark):
     recs = [{"id": "a", "request": {"model": "m", "temperature": "hot", "messages": [{"role": "u"}], "seed": 4}, "new": {"x": [1]}}, {"id": 7, "request": {"temperature": "0.5"}}, {}, "{bad"]
     target = drift.TARGETS["openai_chat"]
