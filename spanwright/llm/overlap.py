@@ -86,24 +86,45 @@ def near(a: str, b: str) -> bool:
 
 
 def coverage(passage: list[str], text: list[str], at: int, common: frozenset[str]) -> float:
-    """Share of the longer of a passage and the text's sentence around position at that both have; 0 for other names.
+    """Share of a passage that the text's sentence has around position at; 0 for other names.
 
-    The matched intervals of both are merged; a misspelt word counts as matched. Where each has a name of its own that
-    the other lacks, they ask about different things, whatever else they share.
+    The matched intervals are merged; a misspelt word counts as matched. Words of the sentence before and after the
+    passage don't count, those put between its words do. Where each has a name of its own that the other lacks, at the
+    place the passage would take, they ask about different things, whatever else they share.
     """
-    lo = hi = at
-    while lo and text[lo - 1] != GAP and at - lo < len(passage) + 12:
-        lo -= 1
-    while hi < len(text) and text[hi] != GAP and hi - at < len(passage) + 12:
-        hi += 1
-    win = text[lo:hi]
-    blocks = difflib.SequenceMatcher(None, passage, win, autojunk=False).get_matching_blocks()
-    in_p = {i for b in blocks for i in range(b.a, b.a + b.size)}
-    in_w = {i for b in blocks for i in range(b.b, b.b + b.size)}
-    missing = [w for i, w in enumerate(passage) if i not in in_p]
-    extra = [w for i, w in enumerate(win) if i not in in_w]
-    if at - lo not in in_w or len(in_p) < 0.5 * max(len(passage), len(win)):
+    n, best = len(passage), 0.0
+    for j in (j for j, w in enumerate(passage) if w == text[at]):
+        lo = hi = at
+        # No alignment that covers enough is shifted by more than half of the passage.
+        while lo and text[lo - 1] != GAP and at - lo < j + n // 2:
+            lo -= 1
+        while hi < len(text) and text[hi] != GAP and hi - at < n - j + n // 2:
+            hi += 1
+        win = text[lo:hi]
+        blocks = [x for x in difflib.SequenceMatcher(None, passage, win, autojunk=False).get_matching_blocks() if x.size]
+        own = next((k for k, x in enumerate(blocks) if x.b <= at - lo < x.b + x.size), None)
+        if own is None or sum(x.size for x in blocks) < 0.5 * n:
+            continue
+        for first in range(own + 1):
+            for last in range(own, len(blocks)):
+                c = _covered(passage, win, blocks[first : last + 1], common)
+                best = max(best, c)
+    return best
+
+
+def _covered(passage: list[str], win: list[str], part: list, common: frozenset[str]) -> float:
+    """Share of the passage, or of the words from the first matched one to the last where these are more."""
+    n, end = len(passage), part[-1].b + part[-1].size
+    size, whole = sum(x.size for x in part), max(n, end - part[0].b)
+    if size < 0.5 * whole:
         return 0.0
+    in_p = {i for x in part for i in range(x.a, x.a + x.size)}
+    in_w = {i for x in part for i in range(x.b, x.b + x.size)}
+    # Where its first or last words are missing, what stands there instead may be a word or two further.
+    head, tail = part[0].a, n - part[-1].a - part[-1].size
+    place = range(max(0, part[0].b - head - (2 if head else 0)), min(len(win), end + tail + (2 if tail else 0)))
+    missing = [w for i, w in enumerate(passage) if i not in in_p]
+    extra = [win[i] for i in place if i not in in_w]
 
     def name(w: str) -> bool:
         return w not in common and not any(near(w, v) for v in win + passage if v in common)
@@ -111,7 +132,7 @@ def coverage(passage: list[str], text: list[str], at: int, common: frozenset[str
     if any(name(w) for w in missing) and any(name(w) for w in extra):
         return 0.0
     spelt = sum(any(near(x, y) for y in extra) for x in missing)
-    return (len(in_p) + spelt) / max(len(passage), len(win))
+    return (size + spelt) / whole
 
 
 class Spelling:

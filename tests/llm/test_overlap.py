@@ -18,6 +18,16 @@ def test_coverage():
     assert cover(q, "Which team owns the Bakedibi pipelinne?", "pipelinne") == 0
 
 
+def test_wrapping_text_on_the_line():
+    p = "Which team owns the Vekufoki pipeline"
+    wrapped = "hello there please read all of the notes below and then tell me {} since the shift lead wants to know by noon"
+    assert cover(p, wrapped.format(p), "vekufoki") == 1
+    assert cover(p, wrapped.format("which team owns the Vekufoki pipelinne"), "vekufoki") == 1
+    assert cover(p, wrapped.format("how many pallets can the Vekufoki warehouse hold"), "vekufoki") < O.COVERAGE
+    assert cover(p, wrapped.format("which team owns the old and long since retired Vekufoki pipeline"), "vekufoki") < O.COVERAGE
+    assert cover(p, wrapped.format("which team owns the Bakedibi pipeline"), "pipeline") == 0
+
+
 def test_near():
     assert O.near("warehouse", "warehousse") and O.near("depot", "deopt") and not O.near("ruboseka", "tibokeka")
 
