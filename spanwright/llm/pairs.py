@@ -1,7 +1,8 @@
 """Defective prompt and answer pairs: empty, truncated, refusing, copying or in a wrong language.
 
 Copies are found by aligning the tokens of prompt and answer: containment of word shingles first, then the longest common
-subsequence. Refusals are found by aligning the opening of the answer against templates. Truncation comes from the
+subsequence. Refusals are found by aligning every sentence of the answer against templates; one after
+the first counts where no other sentence carries an answer. Truncation comes from the
 trigram statistics of cut_texts. A row has at most one defect, the first that holds in the order of DEFECTS.
 
 Defined cases: a null answer counts as empty; a null or empty prompt can neither be copied nor fix a language; texts of
@@ -35,6 +36,13 @@ je ne peux pas répondre à cette demande|je préfère ne pas répondre|je n'ai
 _TEMPLATES = [t.split() for line in _REFUSALS.strip().splitlines() for t in line.split("|")]
 #: Words that may come before a refusal.
 _OPENERS = "hmm|sorry|i'm sorry but|i am sorry but|unfortunately|thank you for asking however|thanks however|leider|es tut mir leid aber|tut mir leid aber|lamentablemente|lo siento pero|malheureusement|je suis désolé mais|désolé mais|i apologize but".split("|")
+#: Sentences that carry no answer, whole: thanks, greetings, apologies.
+_COURTESY = re.compile(
+    r"(?:(?:many )?thanks|thank you)(?: (?:so|very) much)?(?: (?:for|again)(?: \w+){0,4})?|hello|hi|hi there|hello there|good (?:morning|afternoon|evening)|hmm|unfortunately|(?:i'm |i am |we're |we are )?(?:very |so |really |terribly )?sorry(?: (?:for|about)(?: \w+){1,4})?|i apologi[sz]e(?: for(?: \w+){1,4})?|(?:my|our) apologies|i understand(?: (?:your|the) \w+)?|(?:that's |that is )?(?:a )?(?:good|great) question"
+    r"|(?:vielen )?(?:dank|danke)(?: für(?: \w+){1,3})?|hallo|guten (?:tag|morgen|abend)|leider|(?:es )?tut mir (?:sehr )?leid|entschuldigung"
+    r"|(?:muchas )?gracias(?: por(?: \w+){1,3})?|hola|buenos días|buenas tardes|lo siento(?: mucho)?|lamentablemente"
+    r"|merci(?: beaucoup)?(?: (?:pour|de)(?: \w+){1,3})?|bonjour|bonsoir|(?:je suis )?(?:vraiment )?désolée?|malheureusement"
+)
 
 _LANG = {
     "en": "the of and to in is are was were for with that this it its at on by from has have had be been not no which what when how many does did you your they their will can must each one into after before an than up since".split(),
@@ -107,8 +115,23 @@ def is_empty(answer: str | None) -> bool:
     return not words or words in _STAND_INS
 
 
-def is_refusal(answer: str) -> bool:
-    clause = re.split(r"(?<=[.!?])\s|\n", answer.strip(), maxsplit=1)[0]
+def is_refusal(answer: str, question: str = "") -> bool:
+    """Whether the first sentence refuses, or any other one does and none carries an answer."""
+    said = [x for x in re.split(r"(?<=[.!?])\s|\n", answer.strip()) if tokens(x)]
+    no = [refuses(x) for x in said]
+    return bool(no) and (no[0] or (any(no) and not any(carries_answer(x, question) for x, r in zip(said, no, strict=True) if not r)))
+
+
+def carries_answer(sentence: str, question: str) -> bool:
+    """Whether a sentence has a number, is as short as a bare value, or takes up a word of the question."""
+    w = tokens(sentence)
+    if _COURTESY.fullmatch(" ".join(w)):
+        return False
+    asked = {x for x in tokens(question) if len(x) > 3 and x not in _VOTES}
+    return len(w) <= 3 or any(c.isdigit() for c in sentence) or not asked.isdisjoint(w)
+
+
+def refuses(clause: str) -> bool:
     w = tokens(clause)
     if not w or len(w) > 30:
         return False
@@ -157,9 +180,9 @@ def defect(question: str | None, prompt: str | None, answer: str | None, cut: bo
         return DEFECTS[0]
     if cut:
         return DEFECTS[1]
-    if is_refusal(answer):
-        return DEFECTS[2]
     q = question_of(question, prompt)
+    if is_refusal(answer, q):
+        return DEFECTS[2]
     if q and is_copy(q, prompt or q, answer):
         return DEFECTS[3]
     # A repeated question says nothing of the answer's language.

@@ -37,6 +37,18 @@ def test_defects():
     assert P.defect(None, None, "fine", False) is None
 
 
+def test_refusals_after_the_first_sentence():
+    for a in (
+        "Thank you for your question. I can't help with that request.",
+        "Hello. Thanks. I can't help with that request.",
+        "I have read your message with great care. Unfortunately, I cannot assist with that. Have a nice day, and take care.",
+        "Vielen Dank für Ihre Anfrage. Dabei kann ich nicht helfen.",
+    ):
+        assert P.defect(Q, Q, a, False) == "refusal", a
+    for a in ("It holds 6281. I can't help with that request.", "The warehouse is the largest one in town. I won't answer this question.", "Harbor Desk. I can't help with that request."):
+        assert P.defect(Q, Q, a, False) is None, a
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(1, None, None, None), (2, Q, Q, "6281"), (2, Q, Q, "6281"), (3, Q, Q, Q), (3, Q, Q, Q)]
     df = spark.createDataFrame(rows, "row_no bigint, question string, prompt string, answer string")
