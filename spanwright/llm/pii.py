@@ -130,7 +130,7 @@ def _check(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
         elif t == 1:
             ok = digits >= 7
         elif t == 2:
-            ok = 6 <= digits <= 14 and not (s.isdigit() and digits < 8)
+            ok = 6 <= sum(c.isalnum() for c in s) <= 24 and digits >= 2 and not (s.isdigit() and digits < 8)
         elif t == 3:
             ok = digits >= 1 and len(_WORD.findall(s)) > 1 and any(w[0].isupper() for w in _WORD.findall(s))
         else:

@@ -64,5 +64,12 @@ def test_redaction_and_edges(spark):
     assert pii.find_pii(df.limit(0), {"row_no": F.col("row_no")}, F.col("text")).count() == 0
 
 
+def test_long_and_lettered_id_numbers():
+    for s in ("1 84 12 76 451 089 46", "4929 1234 5678 9012", "CFGHJK4T2", "L8KXTRW34"):
+        text = f"My number is {s}, thanks."
+        assert pii._check(text, [(TYPES.index("id_number"), 13, 13 + len(s))]) == [(2, 13, 13 + len(s))], s
+    assert pii._check("My number is 4711, thanks.", [(2, 13, 17)]) == []
+
+
 def test_symbols_treat_digits_alike():
     assert (encode("tel 123") == encode("tel 987")).all()
