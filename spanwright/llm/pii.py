@@ -98,8 +98,10 @@ def decode(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int, int,
 
 
 _AT = re.compile(r"\s?(?:@|\(at\)|\[at\]|\bat\b)\s?", re.I)
-_SPELT_AT = re.compile(r"\s?(?:\(at\)|\[at\]|at)\s[\w-]+(?:\sdot\s|\.)\w", re.I)
 _WORD = re.compile(r"[^\W\d_]{2,}")
+#: Words that no name begins with, and those that may stand in lower case within one.
+_NO_NAME = frozenset("a an the in on at of for from with near by to is it was and or our my your his her their this that team yesterday today tomorrow then when please der die das den dem des ein eine im in am zum zur bei aus von und oder mit nach seit für auf ist war das team gestern heute le la les un une des du de à en et ou avec pour par dans chez depuis est el los las un una y o con por para desde según es hola".split())
+_PARTICLES = frozenset("de la las los van von vom zu zur der den ter ten da das di del della dos do du des al el bin ibn ben abu y e le st".split())
 _FULL = re.compile(r"[^\W\d_]\W+[^\W\d_]{2,}")
 
 
@@ -113,10 +115,6 @@ def _check(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
             e -= 1
         while 0 < b < e and text[b].isalnum() and text[b - 1].isalnum():
             b -= 1
-        if t == 4 and _SPELT_AT.match(text, e):
-            # A mailbox written out: the name before it is its first part.
-            t, b = 0, max(b, text.rfind(" ", 0, e) + 1, text.rfind("\n", 0, e) + 1)
-            e = _SPELT_AT.match(text, e).end()
         s = text[b:e]
         digits = sum(c.isdigit() for c in s)
         if t == 0:
@@ -124,7 +122,7 @@ def _check(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
             ok = bool(at) and len(s) >= 6
             if ok:
                 local = re.search(r"\S+$", text[: b + at.start()])
-                b = max(local.start(), b - 40) if local and at.start() < 2 else b + (local.start() - b if local and local.start() > b else 0)
+                b = local.start() if local and at.start() < 2 else b + (local.start() - b if local and local.start() > b else 0)
                 while e > b and text[e - 1] in ".)":
                     e -= 1
         elif t == 1:
@@ -134,9 +132,17 @@ def _check(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
         elif t == 3:
             ok = digits >= 1 and len(_WORD.findall(s)) > 1 and any(w[0].isupper() for w in _WORD.findall(s))
         else:
-            words = s.split()
-            if len(words) > 2 and words[0].islower() and words[1][:1].isupper():
-                b += len(words[0]) + 1
+            parts = list(re.finditer(r"\S+", s))
+            while len(parts) > 1 and (parts[0].group().lower() in _NO_NAME or (parts[0].group().islower() and parts[1].group()[:1].isupper() and parts[0].group() not in _PARTICLES)):
+                parts.pop(0)
+            # A name written with capitals goes no further than them.
+            if parts[0].group()[:1].isupper():
+                last = next((k for k, x in enumerate(parts) if x.group()[:1].islower() and x.group() not in _PARTICLES), len(parts))
+                while last > 1 and parts[last - 1].group()[:1].islower():
+                    last -= 1
+                parts = parts[:last]
+            b, e = b + parts[0].start(), b + parts[-1].end()
+            s = text[b:e]
             ok = digits == 0 and bool(_FULL.search(s)) and "@" not in s
         if ok:
             out.append((t, b, e))

@@ -1,11 +1,17 @@
+import sys
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from spanwright.llm import pii
 from spanwright.llm.chartag import LABELS, TYPES, Tagger, encode, spans_of
-from spanwright.llm.pii_train import Maker, labelled, loss_and_grads, init_params
+from spanwright.llm.pii_train import Maker, init_params, labelled, loss_and_grads, measure
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+from foreign import Foreign  # noqa: E402
 
-BACKGROUND = ["Every chunk carries its page number.", "Zwei von 12 Antworten waren falsch.", "Le service redémarre tout seul."]
+WORDS = ("table paper window river signal number morning answer packet report engine letter garden".split(), "maison fenster ventana jardín brief lettre puente straße rivière zahl".split())
 
 
 def tagger():
@@ -29,29 +35,27 @@ def test_gradients_match_differences():
 
 
 def test_pruned_decoding_equals_full_viterbi():
-    t, m = tagger(), Maker(5, BACKGROUND)
+    t, m = tagger(), Maker(5, WORDS)
     for _ in range(40):
         ids, _, text = labelled(m)
         em = t.emissions(ids[:, None])
         assert (t.viterbi(em) == t.decode(em, np.array([len(text)]))).all()
 
 
-def test_held_out_spans():
-    t, m = tagger(), Maker(4242, BACKGROUND)
-    tp = fp = fn = 0
-    for _ in range(250):
-        _, y, text = labelled(m)
-        got = {(k, b) for k, b, _ in pii._check(text, pii.decode(t, [text])[0])}
-        want = {(k, b) for k, b, _ in spans_of(y)}
-        tp, fp, fn = tp + len(got & want), fp + len(got - want), fn + len(want - got)
-    assert 2 * tp / (2 * tp + fp + fn) > 0.96
+def test_text_of_another_maker():
+    """Precision and recall on texts that share no template, name or host with the training; names are the weak type."""
+    t = tagger()
+    got = measure(lambda s: pii._check(s, pii.decode(t, [s])[0]), Foreign(3), 400)
+    for kind, (precision, recall) in got.items():
+        least = (0.8, 0.4) if kind == "person_name" else (0.85, 0.8)
+        assert precision >= least[0] and recall >= least[1], (kind, precision, recall)
 
 
 def test_windows_agree_with_one_window():
     t = tagger()
-    text = " ".join(["Every chunk carries its page number and a short title."] * 40) + " My address is mara.quell@post.example, the old one bounced. " + " ".join(["The calibration set has 317 rows, of which a third is held out."] * 40)
+    text = " ".join(["Every chunk carries its page number and a short title."] * 40) + " You can write to walter.brennan@northwind.com about it. " + " ".join(["The calibration set has 317 rows, of which a third is held out."] * 40)
     got = pii._check(text, pii.decode(t, [text])[0])
-    assert [(TYPES[k], text[b:e]) for k, b, e in got] == [("email", "mara.quell@post.example")]
+    assert [(TYPES[k], text[b:e]) for k, b, e in got] == [("email", "walter.brennan@northwind.com")]
 
 
 def test_redaction_and_edges(spark):
