@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,25 +40,51 @@ def _key(name: str) -> str:
     return "$['" + name.replace("'", "\\'") + "']" if "'" not in name else f'$["{name}"]'
 
 
-def _step(v: Column, s: str | int) -> Column:
-    if isinstance(s, int):
-        return F.try_variant_get(v, f"$[{s}]", "variant") if s >= 0 else F.try_element_at(F.try_variant_get(v, "$", "array<variant>"), F.lit(s))
-    return F.try_variant_get(v, _key(s), "variant")
+def _steps(v: Column, steps: list[str | int]) -> Column:
+    """The value at some steps; those without a place from the end are one lookup."""
+    path = "$"
+    for s in steps:
+        if isinstance(s, int) and s < 0:
+            inner = F.try_variant_get(v, path, "array<variant>")
+            v, path = F.try_element_at(inner, F.lit(s)), "$"
+        else:
+            path += f"[{s}]" if isinstance(s, int) else _key(s)[1:]
+    return F.try_variant_get(v, path, "variant") if path != "$" else v
+
+
+def let(v: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(v), f), F.lit(0))
+
+
+def _apply(v: Column, sql: str) -> Column:
+    """The same for an expression of v written in SQL, which is built in one step."""
+    return F.get(F.call_function("transform", F.array(v), F.expr(f"v -> {sql}")), F.lit(0))
+
+
+_TEXT = "CASE WHEN schema_of_variant(v) = 'STRING' OR schema_of_variant(v) RLIKE '^(BIGINT|DECIMAL|DOUBLE|INT)' THEN try_variant_get(v, '$', 'string') END"
+_CONTENT = f"""CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN array_join(filter(transform(try_variant_get(v, '$', 'array<variant>'),
+  p -> coalesce(CASE WHEN schema_of_variant(p) = 'STRING' THEN try_variant_get(p, '$', 'string') END, try_variant_get(p, '$.text', 'string'))), x -> x IS NOT NULL), '') ELSE coalesce({_TEXT}, '') END"""
+_FLOAT = "CASE schema_of_variant(v) WHEN 'BOOLEAN' THEN NULL WHEN 'STRING' THEN try_cast(trim(try_variant_get(v, '$', 'string')) AS double) ELSE try_variant_get(v, '$', 'double') END"
+_GOLD = """CASE schema_of_variant(v) WHEN 'BOOLEAN' THEN try_variant_get(v, '$', 'boolean')
+  WHEN 'STRING' THEN CASE WHEN lower(trim(try_variant_get(v, '$', 'string'))) IN ('yes', 'true', 'y', '1') THEN true WHEN lower(trim(try_variant_get(v, '$', 'string'))) IN ('no', 'false', 'n', '0') THEN false END
+  ELSE CASE try_variant_get(v, '$', 'double') WHEN 1 THEN true WHEN 0 THEN false END END"""
+_ALL = f"""filter(transform(CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN transform(try_variant_get(v, '$', 'array<variant>'), v -> {_TEXT}) ELSE array({_TEXT}) END, x -> trim(x)), x -> length(x) > 0)"""
 
 
 def resolve(v: Column, path: str) -> Column:
     """The value at a path of a variant; null where there is none. [] gives an array of what its elements have."""
     steps = parse_path(path)
     if EVERY not in steps:
-        return reduce(_step, steps, v)
+        return _steps(v, steps)
     cut = steps.index(EVERY)
-    items = F.try_variant_get(reduce(_step, steps[:cut], v), "$", "array<variant>")
+    items = F.try_variant_get(_steps(v, steps[:cut]), "$", "array<variant>")
     rest = steps[cut + 1 :]
     if not rest:
         return items
     if EVERY in rest:
         raise PathError("only one [] is read as an array; use nested tables for more")
-    return F.filter(F.transform(items, lambda x: reduce(_step, rest, x)), lambda x: x.isNotNull())
+    return F.filter(F.transform(items, lambda x: _steps(x, rest)), lambda x: x.isNotNull())
 
 
 def kind(v: Column) -> Column:
@@ -67,32 +93,22 @@ def kind(v: Column) -> Column:
 
 def text(v: Column) -> Column:
     """A string value, else null; numbers as they are written."""
-    k = kind(v)
-    return F.when(k == "STRING", F.try_variant_get(v, "$", "string")).when(k.rlike("^(BIGINT|DECIMAL|DOUBLE|INT)"), F.try_variant_get(v, "$", "string"))
+    return _apply(v, _TEXT)
 
 
 def content_text(v: Column) -> Column:
     """Text of a message body: a string, or the text parts of a list of parts; anything else is empty."""
-    parts = F.try_variant_get(v, "$", "array<variant>")
-    joined = F.array_join(F.filter(F.transform(parts, lambda p: F.coalesce(F.when(kind(p) == "STRING", F.try_variant_get(p, "$", "string")), F.try_variant_get(p, "$.text", "string"))), lambda x: x.isNotNull()), "")
-    return F.when(kind(v).startswith("ARRAY"), joined).otherwise(F.coalesce(text(v), F.lit("")))
+    return _apply(v, _CONTENT)
 
 
 def as_float(v: Column) -> Column:
     """A number, also one written as text; a boolean is none."""
-    k = kind(v)
-    return F.when(k == "BOOLEAN", F.lit(None).cast("double")).when(k == "STRING", F.trim(F.try_variant_get(v, "$", "string")).try_cast("double")).otherwise(F.try_variant_get(v, "$", "double"))
+    return _apply(v, _FLOAT)
 
 
 def gold_flag(*vs: Column) -> Column:
     """The first value that is a clear yes or no: a boolean, exactly 0 or 1, or a yes or no word; graded values are none."""
-
-    def one(v: Column) -> Column:
-        k, s = kind(v), F.lower(F.trim(F.try_variant_get(v, "$", "string")))
-        n = F.try_variant_get(v, "$", "double")
-        return F.when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(k == "STRING", F.when(s.isin("yes", "true", "y", "1"), True).when(s.isin("no", "false", "n", "0"), False)).when(n == 1, True).when(n == 0, False)
-
-    return F.coalesce(*[one(v) for v in vs])
+    return F.coalesce(*[_apply(v, _GOLD) for v in vs])
 
 
 def first_present(v: Column, *ps: str) -> Column:
@@ -103,16 +119,11 @@ def first_present(v: Column, *ps: str) -> Column:
 
 def first_text(v: Column, *ps: str) -> Column:
     """The first path with visible text."""
-    return F.coalesce(*[F.when(F.length(F.trim(t)) > 0, t) for t in (content_text(resolve(v, p)) for p in ps)])
+    texts = F.call_function("transform", F.array(*[resolve(v, p) for p in ps]), F.expr(f"v -> {_CONTENT}"))
+    return F.get(F.call_function("filter", texts, F.expr("t -> length(trim(t)) > 0")), F.lit(0))
 
 
 def references(v: Column, *ps: str) -> Column:
     """Reference answers: a text or a list of texts at the first path that has any visible one; else null."""
-
-    def one(g: Column) -> Column:
-        many = F.transform(F.try_variant_get(g, "$", "array<variant>"), lambda x: text(x))
-        all_ = F.when(kind(g).startswith("ARRAY"), many).otherwise(F.array(text(g)))
-        kept = F.filter(F.transform(all_, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-        return F.when(F.size(kept) > 0, kept)
-
-    return F.coalesce(*[one(resolve(v, p)) for p in ps])
+    lists = F.call_function("transform", F.array(*[resolve(v, p) for p in ps]), F.expr(f"v -> {_ALL}"))
+    return F.get(F.call_function("filter", lists, F.expr("r -> size(r) > 0")), F.lit(0))

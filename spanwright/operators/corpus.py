@@ -5,7 +5,7 @@ Every choice is a seeded function of (label, question, seed), so the corpus is t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -25,6 +25,7 @@ FACTS = [
     ("Which is older, the Pell chapel or the Dunmore gate?", "Dunmore gate", "The Pell chapel dates from 1644. The Dunmore gate dates from 1590.", "Pell chapel", "Which is older?", False, True),
     ("Which is taller, Mount Arden or Mount Sele?", "Mount Sele", "Mount Arden rises 1210 metres. Mount Sele rises 1344 metres.", "Mount Arden", "Which is taller?", False, True),
 ]
+RECIPES = ("clean", "retrieval_failure", "retrieval_failure+parametric", "context_dilution", "prompt_ambiguity", "hallucination", "hallucination_override", "reasoning_failure")
 POOL = [f"{a} {b} {c}." for a in ("The harbour office", "A survey of the coast", "The almanac", "The village council", "An old ledger") for b in ("lists", "describes", "forgot", "compared", "counted") for c in ("market days and tolls", "carts on the north road", "winters without frost", "lamps along the quay", "the price of rope")]
 
 
@@ -114,6 +115,9 @@ def build(facts_: DataFrame, seeds: int = 4) -> DataFrame:
         .when(F.col("injection_recipe") == "hallucination", (F.col("is_correct") == 0) & (F.col("semantic_entropy") > 0.15))
         .otherwise((F.col("multihop_query") == 1) & (F.col("gold_recall_in_context") >= 0.6) & (F.col("is_correct") == 0))
     )
-    kept = featured.where(gate).dropDuplicates(["prompt", "generated_answer", "labels"])
+    # Of equal rows the first in order of recipe, question and seed stands.
+    order = F.array_position(F.array(*[F.lit(r) for r in RECIPES]), F.col("injection_recipe"))
+    ranked = featured.where(gate).withColumn("_place", F.row_number().over(Window.partitionBy("prompt", "generated_answer", "labels").orderBy(order, "id")))
+    kept = ranked.where("_place = 1").drop("_place")
     drop = ("q_tok", "q_list", "a_list", "c_list", "c_gold", "r_tok", "a_tok", "c_tok", "a_content", "r_content", "refs", "gold_index", "decision")
     return kept.drop(*drop).withColumn("row_no", F.abs(F.xxhash64("id"))).withColumn("source", F.lit("corpus"))

@@ -28,7 +28,7 @@ def route_sources(spark, d):
 def ingested_traces(spark, d):
     """Every raw line as a trace, by source and what went wrong."""
     out = I.ingest(_raw(spark, d), keep=("rec_id",))
-    return out.groupBy("source", "error").agg(F.count(F.lit(1)).alias("n"), F.count("question").alias("questions"), F.sum(F.length("generated_answer")).alias("answer_chars"))
+    return out.groupBy("source", F.regexp_replace("error", "^[^:]*: ", "").alias("error")).agg(F.count(F.lit(1)).alias("n"), F.count("question").alias("questions"), F.sum(F.length("generated_answer")).alias("answer_chars"))
 
 
 def json_paths(spark, d):

@@ -36,6 +36,8 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared one the cluster names; a temporary one only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spanwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -61,9 +63,9 @@ def emit(pdf: pd.DataFrame) -> list[pd.DataFrame]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Dealt to all cores before a costly Python stage where the input has fewer files than there are cores."""
+    """Dealt to all cores before a costly Python stage where the scan has fewer splits than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> None:
@@ -73,6 +75,11 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     if sc.master.startswith("local["):
+        # Workers of a local session start in its folder; they find the package where the driver did.
+        home = str(_PACKAGE.parent)
+        known = os.environ.get("PYTHONPATH", "")
+        if home not in known.split(os.pathsep):
+            os.environ["PYTHONPATH"] = home + (os.pathsep + known if known else "")
         return
     target = os.path.join(tempfile.mkdtemp(prefix="spanwright-ship-"), "spanwright_pkg.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:

@@ -47,7 +47,7 @@ def _shape(v: object) -> tuple[float, float, float, str]:
         form = v if len(v) <= 24 and not digits else re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", v))[:6]
         return float(len(v)), 0.0, digits / max(1, len(v)), form
     if isinstance(v, dict):
-        return float(len(v)), 0.0, 0.0, ",".join(sorted(v))[:40]
+        return float(len(v)), 0.0, 0.0, ",".join(sorted(v))
     if isinstance(v, list):
         return float(len(v)), 0.0, 0.0, "[]"
     return 0.0, 0.0, 0.0, ""
@@ -80,23 +80,36 @@ def observe(record: dict) -> list[tuple]:
     return [(p, k, s[0], s[1] / s[0], s[2] / s[0], s[3] / s[0], s[4]) for (p, k), s in seen.items()]
 
 
+#: The types a target column may have.
+KINDS = ("string", "boolean", "bigint", "double")
+_NUMERAL = re.compile(r"\s*[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\s*", re.ASCII)
+
+
 def _cast(v: object, kind: str) -> tuple[bool, object]:
     if v is None:
         return True, None
     if kind == "string":
         return (True, v) if isinstance(v, str) else (True, json.dumps(v)) if isinstance(v, (dict, list)) else (False, None)
-    if isinstance(v, bool):
-        return kind == "boolean", v
-    if kind == "boolean":
-        return False, None
-    if isinstance(v, (int, float)):
-        return (True, v) if kind == "double" or float(v).is_integer() else (False, None)
+    if isinstance(v, bool) or kind == "boolean":
+        return kind == "boolean" and isinstance(v, bool), v
     if isinstance(v, str):
+        # Numbers written as text, in plain form only.
+        if not _NUMERAL.fullmatch(v):
+            return False, None
         try:
-            x = float(v) if kind == "double" else int(v)
+            v = int(v)
         except ValueError:
+            v = float(v)
+    if isinstance(v, float) and not math.isfinite(v):
+        return False, None
+    if isinstance(v, (int, float)):
+        # Only what the column holds exactly; anything else stays in the rescue column as it came.
+        if kind == "bigint":
+            return (True, int(v)) if v == int(v) and -(2**63) <= v < 2**63 else (False, None)
+        try:
+            return (True, float(v)) if float(v) == v else (False, None)
+        except OverflowError:
             return False, None
-        return math.isfinite(x), x
     return False, None
 
 
@@ -147,6 +160,8 @@ def _ingest(targets: dict[str, dict[str, str]], keys: list[str]):
 def ingest(raw: DataFrame, targets: dict[str, dict[str, str]] | None = None, keys: tuple[str, ...] = ("rec_id", "feed", "producer", "file_name", "line_no", "landed_at")) -> DataFrame:
     """Each raw line with its typed members (JSON), its rescued members (JSON by path) and what was observed in it."""
     ship(raw.sparkSession)
+    if odd := {t for target in (targets or TARGETS).values() for t in target.values()} - set(KINDS):
+        raise ValueError(f"target columns are {', '.join(KINDS)}, not {', '.join(sorted(odd))}")
     src = raw.select(*keys, "payload")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "payload")
     return src.mapInPandas(_ingest(targets or TARGETS, list(keys)), f"{schema}, {_INGESTED}")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -18,7 +18,7 @@ TRACE_COLUMNS = ("id", "prompt", "question", "generated_answer", "retrieved_cont
 MAX_CHUNKS = 512
 
 # Where each kind of payload keeps its parts.
-REFERENCE_KEYS = ("ground_truth", "reference", "expected", "expected_answer", "reference_answer", "gold_answer", "answers", "target", "label_answer")
+REFERENCE_KEYS = ("ground_truth", "ground_truths", "reference", "references", "reference_answer", "expected_answer", "expected", "gold_answer", "gold_answers")
 GOLD_KEYS = ("gold", "is_gold", "is_ground_truth", "ground_truth_relevant")
 SCORE_KEYS = ("score", "relevance_score", "similarity", "similarity_score", "retriever_score", "_score")
 CHAIN_QUESTION = ("question", "query", "input", "inputs.question", "inputs.query", "inputs.input")
@@ -27,16 +27,24 @@ CHAIN_DOCUMENTS = ("source_documents", "context", "documents", "contexts", "docs
 ENGINE_QUESTION = ("query_str", "query", "question", "user_query", "metadata.query_str", "metadata.query")
 ENGINE_ANSWER = ("response", "response.response", "answer", "result", "output", "generated_answer", "text")
 ENGINE_NODES = ("source_nodes", "response.source_nodes", "sources", "nodes")
-CHAT_MESSAGES = ("request.messages", "messages", "input.messages", "body.messages")
-CHAT_ANSWER = ("response.choices[0].message.content", "choices[0].message.content", "response.message.content", "completion", "response.output_text", "output_text", "content")
+CHAT_MESSAGES = ("messages", "request.messages", "body.messages", "input.messages")
+CHAT_ANSWER = ("response.choices[0].message.content", "choices[0].message.content", "response.choices[0].text", "choices[0].text", "response.content", "response.output_text", "output_text", "response.output[0].content", "output[0].content", "completion", "response.completion", "generated_answer", "content")
+CHAT_ID = ("id", "response.id", "request_id", "trace_id", "run_id")
+SPAN_MARKS = ("gen_ai.system", "gen_ai.request.model", "gen_ai.response.model", "gen_ai.operation.name", "gen_ai.prompt", "gen_ai.completion", "gen_ai.input.messages", "gen_ai.output.messages")
 FIELD_MAP_KEY = "field_map"
 
 #: A line that opens a context block, and what separates its entries.
-_HEADER = r"(?im)^[ \t]*(?:retrieved (?:documents|passages|context)|context|passages|documents|sources|search results|excerpts)[ \t]*:[ \t]*\n"
-_TAG = r"(?is)<(context|documents|passages)>(.*?)</\1>"
-_ENTRY = r"(?m)^(?=[ \t]*(?:\[[^\]\n]{1,40}\]|\d{1,3}[.)])\s)"
-_MARK = r"^[ \t]*(?:\[([^\]\n]{1,40})\]|(\d{1,3})[.)])\s+"
-_TRAILING = r"(?is)\n+[ \t]*(?:answer|question|using|based on|please)[^\n]*[:?.]?[ \t]*$"
+_LABELS = "contexts?|(?:retrieved|relevant) (?:context|documents|passages|excerpts)|documents|sources|passages|search results|excerpts|reference material|knowledge base|background"
+_HEADER = rf"(?im)^[ \t]*(?:#{{1,6}}[ \t]*)?(?:\*\*)?(?:{_LABELS})(?:\*\*)?[ \t]*:[ \t]*\n?"
+#: A labelled line after the block ends it.
+_NEXT = r"(?im)^[ \t]*(?:#{1,6}[ \t]*)?(?:\*\*)?(?:(?:user )?(?:question|query)|instructions?|task|answer|rules|guidelines|constraints|(?:output )?format|examples?|notes?)(?:\*\*)?[ \t]*:"
+_TAG = r"(?is)<\s*(contexts?|retrieved[_-]context|documents|sources|passages)\s*>(.*?)<\s*/\s*\1\s*>"
+_DOCUMENT = r"(?is)<\s*(document|doc|passage|chunk|source)(?:\s[^>]*)?>(.*?)<\s*/\s*\1\s*>"
+_MARKER = r"\[([^\]\n]{1,60})\]|\((\d{1,3})\)|(\d{1,3})[.)]|(?:document|doc|source|passage|chunk|excerpt)[ \t]+([^\s:.\n]{1,40})[ \t]*[:.]"
+_ENTRY = rf"(?im)^(?=[ \t]*(?:{_MARKER})\s)"
+_MARK = rf"(?i)^[ \t]*(?:{_MARKER})\s+"
+#: A last line that tells what to do and speaks of the context; either alone may be retrieved text.
+_TRAILING = r"(?i)\n+[ \t]*(?:answer|respond|reply|cite|quote|summari[sz]e|use|using|based|refer|do not|don't|only use|only answer|if the|please)\b[^\n]*\b(?:contexts?|documents?|passages?|sources?|excerpts?|above|below)\b[^\n]*$"
 
 
 def strip(c: Column) -> Column:
@@ -52,11 +60,20 @@ def _at(items: Column, i: int) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """(locator, payload) of each line that isn't blank; a leading byte order mark is removed."""
-    reader = spark.readStream if stream else spark.read
-    raw = reader.text(path)
-    line = F.regexp_replace("value", "^\\x{FEFF}", "")
-    return raw.select(F.col("_metadata.file_name").alias("file"), F.lit(None).cast("bigint").alias("position"), line.alias("payload")).where(F.length(F.trim("payload")) > 0)
+    """(file, position, payload) of each line that isn't blank; a leading byte order mark is removed.
+
+    Lines are numbered from 1 in their file, blank ones too: the lines of each split are counted, and what comes before a
+    split is added to the place within it. A stream has no numbers.
+    """
+    line = F.regexp_replace("value", "^\\x{FEFF}", "").alias("payload")
+    some = F.length(F.trim("payload")) > 0
+    if stream:
+        return spark.readStream.text(path).select(F.col("_metadata.file_name").alias("file"), F.lit(None).cast("bigint").alias("position"), line).where(some)
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("_id"), line)
+    blocks = raw.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_block")) - F.col("_n")
+    placed = raw.join(blocks.select("_path", "_block", "_first", before.alias("_before")), ["_path", "_block"])
+    return placed.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("position"), "payload").where(some)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -78,27 +95,25 @@ def valid_utf8(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _has(v: Column, *ps: str) -> Column:
-    out = F.lit(False)
-    for p in ps:
-        out = out | P.resolve(v, p).isNotNull()
-    return out
+    return F.coalesce(*[P.resolve(v, p) for p in ps]).isNotNull()
 
 
 def detect(v: Column) -> Column:
-    """The adapter of a payload by priority, or null: generic, otel, engine, chain, chat, native."""
+    """The adapter of a payload by priority, or null: added ones, generic, native, otel, engine, chain, chat."""
     is_object = F.schema_of_variant(v).startswith("OBJECT")
     messages = F.coalesce(*[F.try_variant_get(P.resolve(v, p), "$", "array<variant>") for p in CHAT_MESSAGES])
     native = _has(v, "generated_answer") & _has(v, "prompt")
     chat = messages.isNotNull() | _has(v, "response.choices", "choices")
-    return (
-        F.when(~F.coalesce(is_object, F.lit(False)), F.lit(None))
-        .when(_has(v, FIELD_MAP_KEY), "generic")
-        .when(native, "native")
-        .when((_has(v, "traceId", "trace_id", "spanId", "span_id")) & _has(v, "attributes"), "otel")
-        .when(_has(v, "source_nodes", "response.source_nodes"), "engine")
-        .when(_has(v, "source_documents", "outputs.source_documents") | (_has(v, "run_id") & _has(v, "result", "outputs")), "chain")
-        .when(chat, "chat")
-    )
+    span = (_has(v, "traceId", "trace_id", "spanId", "span_id") & _has(v, "attributes")) | _has(v, *[f"attributes['{k}']" for k in SPAN_MARKS], *[f"['{k}']" for k in SPAN_MARKS])
+    # A chain has documents that hold text beside an answer, or, without messages, a question and an answer.
+    answer = _has(v, *CHAIN_ANSWER)
+    documents = F.coalesce(*[F.try_variant_get(P.resolve(v, p), "$", "array<variant>") for p in CHAIN_DOCUMENTS])
+    held = F.coalesce(F.exists(documents, lambda d: F.coalesce(*[F.try_variant_get(d, f"$.{k}", "string") for k in ("page_content", "text", "content")]).isNotNull()), F.lit(False))
+    chain = _has(v, "source_documents", "outputs.source_documents") | (_has(v, "run_id") & _has(v, "result", "outputs")) | (held & (answer | chat)) | (answer & _has(v, *CHAIN_QUESTION) & ~chat)
+    claimed = F.when(~F.coalesce(is_object, F.lit(False)), F.lit(None))
+    for name, claims in CLAIMS.items():
+        claimed = claimed.when(F.coalesce(claims(v), F.lit(False)), name)
+    return claimed.when(_has(v, FIELD_MAP_KEY), "generic").when(native, "native").when(span, "otel").when(_has(v, "source_nodes", "response.source_nodes"), "engine").when(chain, "chain").when(chat, "chat")
 
 
 # --- chunks and context -----------------------------------------------------------------------------------------
@@ -121,23 +136,25 @@ def provenance(chunks: Column, part: str) -> Column:
 def context_block(text: Column) -> Column:
     """The context block inside a message, or null: a tagged one, else all after a header line."""
     tagged = F.regexp_extract(text, _TAG, 2)
-
-    header = _at(F.split(text, _HEADER, 2), -1)
-    return F.when(F.length(tagged) > 0, tagged).when(text.rlike(_HEADER), F.regexp_replace(header, _TRAILING, ""))
+    header = _at(F.split(_at(F.split(text, _HEADER, 2), -1), _NEXT, 2), 1)
+    return F.when(F.length(tagged) > 0, tagged).when(text.rlike(_HEADER), F.regexp_replace(strip(header), _TRAILING, ""))
 
 
 def split_block(block: Column) -> Column:
     """Entries of a context block as chunks: by marker, else by rule or blank line, else whole; more than 512 are one."""
     marked = block.rlike(_ENTRY)
-    parts = F.when(marked, F.split(block, _ENTRY)).when(block.rlike(r"(?m)^[ \t]*[-=*_]{3,}[ \t]*$"), F.split(block, r"(?m)^[ \t]*[-=*_]{3,}[ \t]*$")).otherwise(F.split(block, r"\n[ \t]*\n"))
-    one = lambda p: chunk(F.regexp_replace(strip(p), _MARK, ""), F.lit(None), F.when(F.regexp_extract(p, _MARK, 1) != "", F.regexp_extract(p, _MARK, 1)), F.lit(None))
+    documents = F.regexp_extract_all(block, F.lit(_DOCUMENT), 2)
+    parts = F.when(F.size(documents) > 0, documents).when(marked, F.split(block, _ENTRY)).when(block.rlike(r"(?m)^[ \t]*[-=*_]{3,}[ \t]*$"), F.split(block, r"(?m)^[ \t]*[-=*_]{3,}[ \t]*$")).otherwise(F.split(block, r"\n[ \t]*\n"))
+    one = lambda p: chunk(F.regexp_replace(strip(p), _MARK, ""), F.lit(None), F.coalesce(*[F.when(F.regexp_extract(p, _MARK, g) != "", F.regexp_extract(p, _MARK, g)) for g in (1, 4)]), F.lit(None))
     chunks = keep_chunks(F.transform(parts, one))
     return F.when(F.size(chunks) > MAX_CHUNKS, F.array(chunk(block, F.lit(None), F.lit(None), F.lit(None)))).otherwise(chunks)
 
 
 def without_block(text: Column) -> Column:
     """A message without its context block."""
-    return strip(F.regexp_replace(_at(F.split(text, _HEADER, 2), 1), _TAG, ""))
+    after = _at(F.split(text, _HEADER, 2), -1)
+    rest = F.when(text.rlike(_HEADER) & after.rlike(_NEXT), _at(F.split(after, _NEXT, 2), -1))
+    return strip(F.regexp_replace(F.concat_ws("\n", _at(F.split(text, _HEADER, 2), 1), rest), _TAG, ""))
 
 
 def transcript(messages: Column) -> Column:
@@ -182,10 +199,10 @@ def _messages(v: Column, *ps: str) -> Column:
 
 def chat(v: Column) -> Column:
     m = _messages(v, *CHAT_MESSAGES)
-    parts = messages_to_trace(m)
     last = _at(m, -1)
-    answer = F.coalesce(P.first_text(v, *CHAT_ANSWER), F.when(last["role"].isin("assistant", "ai", "model"), last["text"]))
-    return _trace(id=P.text(P.resolve(v, "id")), answer=answer, references=P.references(v, *REFERENCE_KEYS), **parts)
+    parts = messages_to_trace(m)
+    answer = F.coalesce(P.first_text(v, *CHAT_ANSWER), P.let(last, lambda x: F.when(x["role"].isin("assistant", "ai", "model"), x["text"])))
+    return _trace(id=P.text(P.first_present(v, *CHAT_ID)), answer=answer, references=P.references(v, *REFERENCE_KEYS), **parts)
 
 
 def _documents(v: Column, ps: tuple[str, ...], body: tuple[str, ...], wrapped: str | None) -> Column:
@@ -193,11 +210,17 @@ def _documents(v: Column, ps: tuple[str, ...], body: tuple[str, ...], wrapped: s
 
     def one(d: Column) -> Column:
         inner = F.coalesce(F.try_variant_get(d, f"$.{wrapped}", "variant"), d) if wrapped else d
-        text = F.coalesce(P.text(d), *[P.text(F.try_variant_get(inner, f"$.{b}", "variant")) for b in body])
-        num = [F.try_variant_get(x, f"$.{k}", "variant") for x in (d, inner) for k in SCORE_KEYS] + [F.try_variant_get(inner, f"$.metadata.{k}", "variant") for k in SCORE_KEYS]
-        src = [P.text(F.try_variant_get(inner, f"$.{k}", "variant")) for k in ("id_", "id", "node_id", "doc_id", "metadata.source", "metadata.file_name", "source")]
-        gold = P.gold_flag(*[F.try_variant_get(inner, f"$.{a}{k}", "variant") for a in ("", "metadata.") for k in GOLD_KEYS])
-        return chunk(F.coalesce(text, F.lit("")), F.coalesce(*[P.as_float(x) for x in num]), F.coalesce(*src), gold)
+
+        def read(d: Column, inner: Column) -> Column:
+            at = lambda x, *ks: [F.try_variant_get(x, f"$.{k}", "variant") for k in ks]
+            text = F.coalesce(P.text(d), P.first_text(inner, *body))
+            outer = at(d, *SCORE_KEYS) if wrapped else []
+            score = F.get(F.filter(F.call_function("transform", F.array(*outer, *at(inner, *SCORE_KEYS), *at(inner, *[f"metadata.{k}" for k in SCORE_KEYS])), F.expr(f"v -> {P._FLOAT}")), lambda x: x.isNotNull()), F.lit(0))
+            source = P.first_text(inner, "id_", "id", "node_id", "doc_id", "metadata.source", "metadata.file_name", "source")
+            gold = F.get(F.filter(F.call_function("transform", F.array(*[x for a in ("", "metadata.") for x in at(inner, *[f"{a}{k}" for k in GOLD_KEYS])]), F.expr(f"v -> {P._GOLD}")), lambda x: x.isNotNull()), F.lit(0))
+            return chunk(F.coalesce(text, F.lit("")), score, source, gold)
+
+        return P.let(inner, lambda x: read(d, x)) if wrapped else read(d, d)
 
     return keep_chunks(F.transform(items, one))
 
@@ -258,7 +281,7 @@ def mapped(v: Column, fields: dict[str, str]) -> Column:
                 return F.expr(f"CAST(NULL AS array<{kind}>)")
             # The element keeps its place, so a missing value is null and not shifted.
             base, _, item = fields[k].partition("[].")
-            items = F.try_variant_get(P.resolve(v, base), "$", "array<variant>")
+            items = F.try_variant_get(P.resolve(v, base.removesuffix("[]")), "$", "array<variant>")
             return F.transform(items, lambda x: f(P.resolve(x, item) if item else x))
 
         scores, ids, gold = aligned("chunk_scores", P.as_float, "double"), aligned("chunk_ids", P.text, "string"), aligned("chunk_gold", lambda x: P.gold_flag(x), "boolean")
@@ -267,24 +290,71 @@ def mapped(v: Column, fields: dict[str, str]) -> Column:
     return _trace(id=get("id"), question=get("question"), prompt=F.coalesce(get("prompt"), compose_prompt(get("question"), chunks) if "chunks" in fields else get("question")), answer=get("answer"), retrieved_context=chunks, references=P.references(v, fields["reference"]) if "reference" in fields else F.lit(None))
 
 
+def ragged(v: Column, fields: dict[str, str]) -> Column:
+    """What is wrong with lists that should go together, or null: a list of scores, ids or marks of another length."""
+    if "chunks" not in fields:
+        return F.lit(None).cast("string")
+    n = F.size(P.resolve(v, fields["chunks"]))
+    out = F.lit(None).cast("string")
+    for k in ("chunk_scores", "chunk_ids", "chunk_gold"):
+        if k in fields:
+            base, _, _ = fields[k].partition("[].")
+            m = F.size(F.try_variant_get(P.resolve(v, base.removesuffix("[]")), "$", "array<variant>"))
+            # A list beside another may lack its elements' members, but not elements.
+            own, _, _ = fields["chunks"].partition("[].")
+            if base.removesuffix("[]") != own.removesuffix("[]"):
+                out = F.coalesce(out, F.when((m >= 0) & (n >= 0) & (m != n), F.concat(F.lit(f"{k} has "), m.cast("string"), F.lit(" values for "), n.cast("string"), F.lit(" chunks"))))
+    return out
+
+
+def embedded(v: Column) -> Column:
+    """The adapter of payloads that carry a field map of their own: each value is read at the path the row itself names."""
+    fields = F.try_variant_get(v, f"$.{FIELD_MAP_KEY}", "map<string,string>")
+    at = lambda x, path: F.try_variant_get(x, F.concat(F.lit("$."), path), "variant")
+    get = lambda k: P.content_text(at(v, F.try_element_at(fields, F.lit(k))))
+    some = lambda k: F.when(F.length(get(k)) > 0, get(k))
+    cut = lambda k: F.split(F.try_element_at(fields, F.lit(k)), r"\[\]\.?", 2)
+    items = F.try_variant_get(at(v, _at(cut("chunks"), 1)), "$", "array<variant>")
+
+    def member(x: Column, k: str) -> Column:
+        # Members of the same elements only; lists of their own need a field map that is given.
+        item = F.when(_at(cut(k), 1) == _at(cut("chunks"), 1), _at(cut(k), 2))
+        return F.when(F.length(item) > 0, at(x, item)).otherwise(F.when(item == "", x))
+
+    chunks = keep_chunks(F.transform(items, lambda x: chunk(P.content_text(member(x, "chunks")), P.as_float(member(x, "chunk_scores")), P.text(member(x, "chunk_ids")), P.gold_flag(member(x, "chunk_gold")))))
+    reference = some("reference")
+    return _trace(id=some("id"), question=some("question"), prompt=F.coalesce(some("prompt"), compose_prompt(some("question"), chunks)), answer=get("answer"), retrieved_context=chunks, references=F.when(reference.isNotNull(), F.array(reference)))
+
+
 ADAPTERS: dict[str, Callable[[Column], Column]] = {"otel": otel, "engine": engine, "chain": chain, "chat": chat, "native": native}
+#: What payloads adapters added by register() claim, before all others.
+CLAIMS: dict[str, Callable[[Column], Column]] = {}
 
 
-def register(name: str, adapter: Callable[[Column], Column]) -> None:
-    """Adds an adapter, or replaces one: a function of a variant column to a trace struct."""
+def register(name: str, adapter: Callable[[Column], Column], claims: Callable[[Column], Column] | None = None) -> None:
+    """Adds an adapter, or replaces one: a function of a variant column to a trace struct, and one that says which it claims."""
+    if claims is None and name not in ADAPTERS:
+        raise ValueError(f"adapter {name!r} needs to say which payloads it claims")
     ADAPTERS[name] = adapter
+    if claims is not None:
+        CLAIMS[name] = claims
 
 
 def ingest(lines: DataFrame, field_map: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Traces of (file, position, payload): the trace columns, source, and error for what can't be read."""
+    """Traces of (file, position, payload): the trace columns, source, and error for what can't be read.
+
+    An error begins with the place, file#position, and says what is wrong; every row has a trace or an error.
+    """
     v = F.col("v")
-    rows = lines.withColumn("v", F.try_parse_json("payload")).withColumn("source", F.when(F.lit(field_map is not None), F.lit("generic")).otherwise(detect(v)))
-    trace = F.lit(None)
+    parsed = lines.withColumn("v", F.try_parse_json("payload"))
+    rows = parsed.withColumn("source", F.lit("generic") if field_map is not None else detect(v))
+    trace = F.when(F.col("source") == "generic", mapped(v, field_map) if field_map is not None else embedded(v))
     for name, f in ADAPTERS.items():
-        trace = F.when(F.col("source") == name, f(v)).otherwise(trace) if name != next(iter(ADAPTERS)) else F.when(F.col("source") == name, f(v))
-    if field_map is not None:
-        trace = F.when(F.col("source") == "generic", mapped(v, field_map)).otherwise(trace)
+        trace = trace.when(F.col("source") == name, f(v))
     out = rows.withColumn("trace", trace)
     locator = F.concat_ws("#", "file", F.col("position").cast("string"))
-    error = F.when(v.isNull(), "not JSON").when(F.col("source").isNull(), "no adapter").when(F.length(F.trim("trace.generated_answer")) == 0, "no answer")
-    return out.select(*keep, "file", "position", F.coalesce("trace.id", locator).alias("id"), *[f"trace.{c}" for c in ("prompt", "question", "generated_answer", "retrieved_context", "ground_truth")], "source", F.to_json(F.struct(F.col("source").alias("ingest_source"), provenance(F.col("trace.retrieved_context"), "retriever_score").alias("scores"), provenance(F.col("trace.retrieved_context"), "gold").alias("gold"))).alias("meta"), error.alias("error"))
+    uneven = ragged(v, field_map) if field_map is not None else F.lit(None).cast("string")
+    answered = F.coalesce(F.length(F.trim("trace.generated_answer")), F.lit(0)) > 0
+    wrong = F.when(v.isNull(), "not JSON").when(F.col("source").isNull(), F.concat(F.lit("no adapter for "), F.coalesce(F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1), F.lit("nothing")))).when(F.col("trace").isNull(), "no trace").when(~answered, "no answer").otherwise(uneven)
+    error = F.when(wrong.isNotNull(), F.concat_ws(": ", locator, wrong))
+    return out.select(*keep, "file", "position", F.coalesce("trace.id", locator).alias("id"), *[f"trace.{c}" for c in ("prompt", "question", "generated_answer", "retrieved_context", "ground_truth")], "source", F.to_json(F.struct(F.col("source").alias("ingest_source"), locator.alias("origin"), provenance(F.col("trace.retrieved_context"), "retriever_score").alias("scores"), provenance(F.col("trace.retrieved_context"), "gold").alias("gold"))).alias("meta"), error.alias("error"))

@@ -26,14 +26,15 @@ def cached_signals(spark: SparkSession, traces: DataFrame, path: str) -> DataFra
     keyed = traces.withColumn("cache_key", cache_key())
     columns = ["cache_key", "has_reference", *S.SIGNALS]
     schema = "cache_key string, has_reference boolean, " + ", ".join(f"{s} double" for s in S.SIGNALS)
-    try:
-        known = spark.read.schema(schema).parquet(path)
-        known.limit(1).count()
-        fresh = keyed.join(known.select("cache_key"), "cache_key", "left_anti")
-    except Exception:  # noqa: BLE001  # no table yet
-        fresh = keyed
+    # Only a table that isn't there yet counts as empty; any other failure to read it is one.
+    fresh = keyed.join(spark.read.schema(schema).parquet(path).select("cache_key"), "cache_key", "left_anti") if _exists(spark, path) else keyed
     S.log_signals(fresh.dropDuplicates(["cache_key"])).select(*columns).write.mode("append").parquet(path)
-    return keyed.select("row_no", "cache_key").join(spark.read.schema(schema).parquet(path), "cache_key")
+    return keyed.select("row_no", "cache_key").join(spark.read.schema(schema).parquet(path).dropDuplicates(["cache_key"]), "cache_key")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def clear(spark: SparkSession, path: str) -> None:

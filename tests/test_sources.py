@@ -48,6 +48,65 @@ def test_field_map(spark):
         ingest.ingest(payloads(spark, [row]), {"question": "q"})
 
 
+def test_embedded_field_map_and_errors(spark):
+    own = {"field_map": {"id": "trace.id", "question": "input.user", "answer": "output.text", "chunks": "retrieval.hits[].passage", "chunk_scores": "retrieval.hits[].sim", "reference": "expected"}, "trace": {"id": "t9"}, "input": {"user": "Q?"}, "output": {"text": "A"}, "retrieval": {"hits": [{"passage": "one", "sim": 0.5}, {"passage": "two"}]}, "expected": "A"}
+    empty = {"field_map": {"answer": "nowhere"}, "x": 1}
+    rows = {r.file: r for r in ingest.ingest(payloads(spark, [own, empty, {"question": "Q?", "answer": "A", "contexts": [{"page_content": "one"}]}, {"name": "s", "attributes": {"gen_ai.prompt": "[]", "gen_ai.completion": "A"}}, {"query": "Q?", "result": "A"}])).collect()}
+    r = rows["f0"]
+    assert (r.id, r.question, r.generated_answer, r.ground_truth, r.error) == ("t9", "Q?", "A", ["A"], None)
+    assert [(c.text, c.retriever_score) for c in r.retrieved_context] == [("one", 0.5), ("two", None)]
+    assert rows["f1"].error == "f1#1: no answer"
+    assert [rows[f"f{i}"].source for i in (2, 3, 4)] == ["chain", "otel", "chain"] and rows["f2"].retrieved_context[0].text == "one"
+    uneven = {"a": "A", "docs": ["x", "y"], "sims": [0.1]}
+    r = ingest.ingest(payloads(spark, [uneven]), {"answer": "a", "chunks": "docs[]", "chunk_scores": "sims[]"}).first()
+    assert r.error == "f0#0: chunk_scores has 1 values for 2 chunks"
+
+
+def test_exact_casts():
+    cast = drift._cast
+    assert cast(12.0, "bigint") == (True, 12) and cast("7", "bigint") == (True, 7) and cast("1e3", "bigint") == (True, 1000) and cast(2**63 - 1, "bigint") == (True, 2**63 - 1) and cast(-(2**63), "bigint") == (True, -(2**63))
+    for v in (2**63, 10**23, 1e23, 1.5, "7_000", "", "x", "nan", float("inf"), True, [], {}):
+        assert cast(v, "bigint")[0] is False, v
+    assert cast(1.5, "double") == (True, 1.5) and cast("1.5", "double") == (True, 1.5) and cast(2**53, "double") == (True, 2.0**53)
+    for v in (2**53 + 1, 10**400, "1e999", float("nan"), False, "1_0"):
+        assert cast(v, "double")[0] is False, v
+    assert cast(True, "boolean") == (True, True) and cast(1, "boolean")[0] is False and cast(3, "string")[0] is False and cast(None, "bigint") == (True, None)
+
+
+def test_no_value_is_lost(spark):
+    rows = [{"n": 12.0}, {"n": 10**23}, {"n": "7_000"}, {"n": 1.5}, {"n": -(2**63)}, {"d": 2**53 + 1}, {"d": 0.1}]
+    df = spark.createDataFrame([(i, "f", "p", "a", 0, json.dumps(r)) for i, r in enumerate(rows)], "rec_id int, feed string, producer string, file_name string, line_no int, payload string")
+    target = {"n": "bigint", "d": "double"}
+    got = {r.rec_id: r for r in drift.unified(drift.ingest(df, {"f": target}, ("rec_id", "feed", "producer", "file_name", "line_no")), "f", target).collect()}
+    assert [got[i].n for i in range(5)] == [12, None, None, None, -(2**63)] and got[6].d == 0.1
+    assert all((got[i].rescued is None) == (i in (0, 4, 6)) for i in range(7))
+
+
+def test_added_adapter(spark):
+    ingest.register("pairs", lambda v: ingest._trace(answer=F.try_variant_get(v, "$.says", "string")), lambda v: F.try_variant_get(v, "$.says", "string").isNotNull())
+    try:
+        r = ingest.ingest(payloads(spark, [{"says": "yes"}])).first()
+        assert (r.source, r.generated_answer, r.error) == ("pairs", "yes", None)
+    finally:
+        del ingest.ADAPTERS["pairs"], ingest.CLAIMS["pairs"]
+    with pytest.raises(ValueError):
+        ingest.register("unclaimed", lambda v: v)
+
+
+def test_context_blocks(spark):
+    def block(s):
+        return spark.range(1).select(ingest.context_block(F.lit(s)).alias("c")).first().c
+
+    assert block("Context: alpha beta") == "alpha beta"
+    assert block("Context:\none\nBased on the survey, ships leave.") == "one\nBased on the survey, ships leave."
+    assert block("Context:\none\nAnswer using only the context above.") == "one"
+    assert block("Passages:\none\n\nQuestion: Who?") == "one"
+    cut = lambda s: [(c.text, c.source_id) for c in spark.range(1).select(ingest.split_block(F.lit(s)).alias("c")).first().c]
+    assert cut("(1) one\n(2) two") == [("one", None), ("two", None)]
+    assert cut("Document 3: one\nDocument b: two") == [("one", "3"), ("two", "b")]
+    assert cut("<doc id='1'>one</doc><doc>two</doc>") == [("one", None), ("two", None)]
+
+
 def test_blocks(spark):
     cut = lambda s: [c.text for c in spark.range(1).select(ingest.split_block(F.lit(s)).alias("c")).first().c]
     assert cut("1. one\n2. two") == ["one", "two"] and cut("- a\n- b") == ["- a\n- b"] and cut("one\n\ntwo") == ["one", "two"]
@@ -63,6 +122,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.bin").write_bytes(b"\xff\xfe\x00")
     lines = ingest.ingest(ingest.read_lines(spark, str(tmp_path / "a.jsonl"))).collect()
     assert sorted(str(r.source) for r in lines) == ["None", "chat", "otel"]
+    assert sorted(r.position for r in lines) == [1, 3, 4] and [r.error for r in lines if r.error] == ["a.jsonl#4: not JSON"]
     docs = ingest.ingest(ingest.read_documents(spark, str(tmp_path / "b.json"))).collect()
     assert [(r.source, r.position) for r in sorted(docs, key=lambda r: r.position)] == [("chain", 0), ("engine", 1)]
     assert ingest.ingest(ingest.read_documents(spark, str(tmp_path / "c.json"))).first().source == "native"
