@@ -54,7 +54,7 @@ def turns(events: DataFrame) -> DataFrame:
     readable = F.when(choice & message.isNotNull(), F.coalesce(is_object, F.lit(False))).otherwise(~choice | a["content"].isNotNull())
     text = F.when(choice & message.isNotNull(), from_message).otherwise(a["content"])
     role = F.when(kind.isin(2), kind).otherwise(F.coalesce(*[F.when(said == k, F.lit(v)) for k, v in _NAMED.items()], kind))
-    rest = [F.col(c) for c in events.columns if c not in ("row_no", "received_at", "attributes")]
+    rest = [F.col(f"`{c}`") for c in events.columns if c not in ("row_no", "received_at", "attributes", "trace_id", "trace")]
     pairs = F.array_sort(F.map_entries(a))
     trace = F.lower(F.trim(F.col("trace_id")))
     return (
@@ -66,7 +66,7 @@ def turns(events: DataFrame) -> DataFrame:
             F.col("event_ts").cast("double").alias("ts"),
             F.col("event_seq").cast("int").alias("seq"),
             (F.coalesce(role, kind) + F.when(_visible(text), F.lit(_TEXT)).otherwise(0) + F.when(readable, F.lit(_READABLE)).otherwise(0)).cast("int").alias("flags"),
-            F.xxhash64(trace, *[c for c in rest if c._jc.toString() != "trace_id"], F.to_json(pairs)).alias("same"),
+            F.xxhash64("trace", *rest, F.to_json(pairs)).alias("same"),
             F.col("row_no").cast("long").alias("row_no"),
         )
     )
