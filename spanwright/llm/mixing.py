@@ -3,7 +3,8 @@
 Slots are numbered; the golden-ratio sequence maps each to a point, and the cumulative target weights map the point to
 a source, so that every stretch of the schedule is close to the targets. A source's documents, shuffled anew for each
 permitted repetition, are laid end to end and cut into blocks of equal tokens; the k-th slot of a source takes its k-th
-block. The length of the schedule is the longest for which every source can supply its share within its repetitions.
+block. A document that lies across a border is continued in the source's next block, so every slot has exactly as many
+tokens as a block and every stretch of slots keeps to the targets in tokens too. The length of the schedule is the longest for which every source can supply its share within its repetitions.
 
 Sources without a target, or with a share of 0 or null, are left out; shares are scaled to 1; a target without
 documents shortens nothing and is reported with share 0; a repeats limit that is null or below 1 counts as 1; empty
@@ -21,6 +22,8 @@ from .sizes import running_start
 #: Tokens of a block, and the fractional part of the golden ratio.
 BLOCK, PHI = 512, 0.6180339887498949
 _CHUNK = 1 << 14
+#: Rows of a source sorted together, about.
+BUCKET_ROWS = 20_000
 
 
 def targets_of(sizes: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -40,11 +43,12 @@ def targets_of(sizes: DataFrame, targets: DataFrame, block: int = BLOCK) -> Data
 def schedule(plan: DataFrame) -> DataFrame:
     """(slot, source, block): the source of each slot and the slot's rank among those of its source."""
     spark = plan.sparkSession
-    first = plan.agg(F.max("slots")).first()
-    n = int(first[0] or 0)
+    # The plan has one row for each source of the target table, a table of settings; its bounds travel as two arrays.
+    bounds = plan.select("source", "hi", "slots").orderBy("hi").collect()
+    n = max((int(r["slots"] or 0) for r in bounds), default=0)
+    sources, ends = F.array(*[F.lit(r["source"]) for r in bounds]).cast("array<string>"), F.array(*[F.lit(float(r["hi"])) for r in bounds]).cast("array<double>")
     slots = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * F.lit(PHI) % 1).alias("u"), F.floor(F.col("id") / _CHUNK).alias("chunk"))
-    # The plan has one row for each source of the target table, which is of fixed size.
-    named = slots.join(F.broadcast(plan.select("source", "lo", "hi")), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    named = slots.withColumn("source", F.get(sources, F.size(F.filter(ends, lambda h: F.col("u") >= h))))
     per = named.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
     base = per.select("source", "chunk", (F.sum("n").over(Window.partitionBy("source").orderBy("chunk")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1
@@ -52,19 +56,23 @@ def schedule(plan: DataFrame) -> DataFrame:
 
 
 def mix(sizes: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(slot, source, block, copy_no, doc_id, tokens): the documents of each slot in order of the schedule."""
+    """(slot, source, block, copy_no, doc_id, from_token, tokens): what each slot holds of each document, in order of the schedule."""
     sizes = materialise(sizes.where("tokens > 0 AND source IS NOT NULL").select("doc_id", "source", "tokens"), "mix-sizes")
     plan = materialise(targets_of(sizes, targets, block), "mix-plan")
     docs = sizes.join(F.broadcast(plan.select("source", "max_repeats", F.col("tokens").alias("total"))), "source")
     copies = docs.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("max_repeats").cast("int") - 1)))
-    laid = running_start(copies.withColumn("stream", F.concat_ws("#", "source", "copy_no")), "stream", F.xxhash64("doc_id", "copy_no"), "tokens")
-    blocks = laid.withColumn("block", F.floor((F.col("start") + F.col("copy_no") * F.col("total")) / block))
-    return schedule(plan).join(blocks, ["source", "block"]).select("slot", "source", "block", "copy_no", "doc_id", "tokens")
+    buckets = max(64, sizes.count() // BUCKET_ROWS)
+    laid = running_start(copies.withColumn("stream", F.concat_ws("#", "source", "copy_no")), "stream", F.xxhash64("doc_id", "copy_no"), "tokens", buckets)
+    begin = F.col("start") + F.col("copy_no") * F.col("total")
+    spans = laid.withColumn("begin", begin).withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("tokens") - 1) / block))))
+    lo, hi = F.greatest(F.col("begin"), F.col("block") * block), F.least(F.col("begin") + F.col("tokens"), (F.col("block") + 1) * block)
+    parts = spans.select("source", "block", "copy_no", "doc_id", (lo - F.col("begin")).alias("from_token"), (hi - lo).alias("tokens"))
+    return schedule(plan).join(parts, ["source", "block"]).select("slot", "source", "block", "copy_no", "doc_id", "from_token", "tokens")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source of the targets: target share, share reached, tokens drawn, documents, and the most often one was used."""
-    per = mixed.groupBy("source", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("uses"))
+    per = mixed.groupBy("source", "doc_id").agg(F.sum("tokens").alias("t"), F.countDistinct("copy_no").alias("uses"))
     per = per.groupBy("source").agg(F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("docs"), F.max("uses").alias("most_uses"))
     joined = targets.select("source", "target_share", "max_repeats").join(per, "source", "left")
     # One row for each source of the target table.

@@ -136,8 +136,12 @@ def _evolve_level(items: DataFrame, level: int, shard_items: int) -> DataFrame:
     counts = items.groupBy("container").agg(F.count(F.lit(1)).alias("n"))
     dealt = items.join(counts, "container").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(level)), shards).cast("int")).drop("n")
     state = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("role", F.lit(0)).withColumn("bin", F.lit(-1))
+    # A shard is small in bytes but long in work, so tasks are made by the number of shards and not by size.
+    groups = int(counts.agg(F.sum(shards)).first()[0] or 1) * ISLANDS
+    tasks = min(groups, max(3 * items.sparkSession.sparkContext.defaultParallelism, groups // 50))
     for epoch in range(EPOCHS):
-        solved = materialise(state.groupBy("container", "shard", "island").applyInPandas(_island, _SOLVED), f"pack-{level}-{epoch}")
+        spread = state.repartition(tasks, "container", "shard", "island")
+        solved = materialise(spread.groupBy("container", "shard", "island").applyInPandas(_island, _SOLVED), f"pack-{level}-{epoch}")
         # The elite stays on its island and visits the next one.
         state = solved.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("island", F.when(F.col("role") == 1, F.pmod(F.col("island") + 1, F.lit(ISLANDS))).otherwise(F.col("island")))
     per_bin = solved.groupBy("container", "capacity", "shard", "island", "bin").agg(F.sum("size").alias("used"))

@@ -55,9 +55,16 @@ def test_mix_reaches_targets(spark):
     docs = spark.createDataFrame(rows + [(9001, None, 5), (9002, "other", 7), (9003, "big", 0)], "doc_id bigint, source string, tokens bigint")
     want = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 6), ("ghost", 0.0, 1), (None, 0.3, 1)], "source string, target_share double, max_repeats int")
     out = mixing.mix(docs, want, block=512)
-    uses = defaultdict(int)
+    uses, slots, parts = defaultdict(int), defaultdict(int), defaultdict(list)
     for r in out.collect():
-        uses[r.doc_id] += 1
+        slots[r.slot] += r.tokens
+        parts[r.doc_id, r.copy_no].append((r.from_token, r.tokens))
+    for (doc, _), spans in parts.items():
+        # What is drawn of a copy has no gap within, and counts as one use.
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+        uses[doc] += 1
+    assert set(slots.values()) == {512} and sorted(slots) == list(range(len(slots)))
     limit = {"big": 1, "mid": 2, "small": 6}
     source = {d: s for d, s, _ in rows}
     assert all(n <= limit[source[d]] for d, n in uses.items())
