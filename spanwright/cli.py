@@ -1,4 +1,6 @@
-"""Command line: demo, analyze, triage, inject, eval, ablate. python -m spanwright.cli COMMAND ..."""
+"""Command line: demo, analyze, triage, inject, eval, ablate, noref. python -m spanwright.cli COMMAND ...
+
+Under spark-submit the session of the cluster serves, else a local one."""
 
 from __future__ import annotations
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions.paths import PathError
 from .operators import corpus, diagnosis, evaluation, recommend, signals, triage
 from .operators import simulator as M
-from .session import local_session
+from .session import current_session
 from .sources import ingest, store
 
 
@@ -34,16 +36,16 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         s.add_argument("path")
         s.add_argument("--field-map")
-        s.add_argument("--top", type=int, default=10)
+        s.add_argument("--top", type=int, default=10, help="rows to print; 0 prints all")
         s.add_argument("--json", action="store_true")
-    for name in ("demo", "eval", "ablate"):
+    for name in ("demo", "eval", "ablate", "noref"):
         s = sub.add_parser(name)
         s.add_argument("--seeds", type=int, default=2)
     s = sub.add_parser("inject")
     s.add_argument("out")
     s.add_argument("--seeds", type=int, default=4)
     a = p.parse_args(argv)
-    spark = local_session()
+    spark = current_session()
     spark.sparkContext.setLogLevel("ERROR")
     try:
         if a.command in ("analyze", "triage"):
@@ -55,7 +57,8 @@ def main(argv: list[str] | None = None) -> int:
                 print(triage.render(ranked, total, a.top) if not a.json else "\n".join(r[0] for r in store.to_lines(triage.top(ranked, a.top)).collect()))
             else:
                 cols = ["id", "primary_mode", "headline", "confidence", "bucket"]
-                for r in store.to_lines(reports.select(*cols)).limit(a.top).collect():
+                lines = store.to_lines(reports.select(*cols))
+                for r in (lines.limit(a.top) if a.top > 0 else lines).toLocalIterator():
                     print(r[0])
             for r in bad.select("id", "error").limit(triage.FAILURES).collect():
                 print(f"unread {r['id']}: {r['error']}", file=sys.stderr)
@@ -63,7 +66,11 @@ def main(argv: list[str] | None = None) -> int:
             store.write_lines(corpus.build(corpus.facts(spark), a.seeds).select("id", "prompt", "question", "generated_answer", "labels", "injection_recipe"), a.out)
         else:
             rows = corpus.build(corpus.facts(spark), a.seeds)
-            if a.command == "ablate":
+            if a.command == "noref":
+                logged = rows.select("row_no", "id", "prompt", "question", "generated_answer", "retrieved_context", "ground_truth", F.lit(None).cast("string").alias("meta"), "source", "labels")
+                base, bare = (diagnosis.diagnose(signals.log_signals(x)) for x in (logged, evaluation.strip_reference(logged)))
+                evaluation.no_reference_delta(base, bare).orderBy("metric").show(truncate=False)
+            elif a.command == "ablate":
                 evaluation.family_ablation(rows).show(truncate=False)
             else:
                 reports = diagnosis.diagnose(rows)

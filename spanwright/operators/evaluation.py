@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ranked
 from . import diagnosis as D
 from . import rules as R
 from . import signals as S
@@ -60,14 +61,13 @@ def confusion(reports: DataFrame) -> DataFrame:
 
 def calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Per equal-mass bin of (key, score, outcome): n, mean score, mean outcome; bins are cut at rounded ranks."""
-    w = Window.partitionBy(F.lit(0))
-    return _bins(scored.withColumn("rank", F.row_number().over(w.orderBy("score", "key")) - 1).withColumn("n", F.count(F.lit(1)).over(w)), bins)
+    return _bins(ranked(scored, F.col("score"), F.col("key"), label="calibration"), bins)
 
 
-def _bins(ranked: DataFrame, bins: int) -> DataFrame:
-    edge = lambda b: F.floor(F.lit(float(b)) * F.col("n") / bins + 0.5)
+def _bins(placed: DataFrame, bins: int) -> DataFrame:
+    edge = lambda b: F.floor(F.lit(float(b)) * F.col("_n") / bins + 0.5)
     bucket = sum((F.when(F.col("rank") >= edge(b), 1).otherwise(0) for b in range(1, bins)), F.lit(0))
-    return ranked.withColumn("bin", bucket).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(F.col("outcome").cast("double")), 6).alias("mean_outcome"))
+    return placed.withColumn("bin", bucket).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(F.col("outcome").cast("double")), 6).alias("mean_outcome"))
 
 
 def grid_calibration_error(reports: DataFrame, cells: int = 20) -> DataFrame:
@@ -79,17 +79,11 @@ def grid_calibration_error(reports: DataFrame, cells: int = 20) -> DataFrame:
 def hash_split(rows: DataFrame, text: str, key: str) -> DataFrame:
     """Adds part (train, cal or test) by the rank of the text's SHA-1: 60, 20 and the rest, repeatable on the same rows.
 
-    Ranks are found by counting on the hash's first two digits and ranking within each count, so no task sorts all rows.
+    The order is made by ranges of hash and key, so neither all rows nor the copies of one text are sorted in one task.
     """
-    h = F.sha1(F.coalesce(F.col(text), F.lit("")))
-    r = rows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
-    counts = r.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(F.lit(0))
-    # 256 rows at most.
-    base = counts.select(F.col("_b").alias("_k"), (F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
-    out = r.join(F.broadcast(base), F.col("_b") == F.col("_k")).withColumn("position", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1)
+    out = ranked(rows.withColumn("_h", F.sha1(F.coalesce(F.col(text), F.lit("")))), F.col("_h"), F.col(key), label="split").withColumnRenamed("rank", "position")
     a, b = F.floor(F.col("_n") * SPLIT[0]), F.floor(F.col("_n") * SPLIT[0]) + F.floor(F.col("_n") * SPLIT[1])
-    return out.withColumn("part", F.when(F.col("position") < a, "train").when(F.col("position") < b, "cal").otherwise("test")).drop("_h", "_b", "_k", "_before", "_n")
+    return out.withColumn("part", F.when(F.col("position") < a, "train").when(F.col("position") < b, "cal").otherwise("test")).drop("_h", "_n")
 
 
 def tier_schedule(position: Column) -> Column:

@@ -65,8 +65,11 @@ def recommend(reports: DataFrame) -> DataFrame:
 
 def outcomes(recommended: DataFrame) -> DataFrame:
     """(row_no, primary_mode, headline, action, validated): one row for each trace and distinct action."""
-    r = recommended.where("bucket = 'diagnosed'").select("row_no", "primary_mode", "headline", F.explode("recommendations").alias("r"))
-    return r.groupBy("row_no", "primary_mode", "headline", F.col("r.action").alias("action")).agg(F.bool_or("r.validated").alias("validated"))
+    # Actions of a trace are told apart within its row; nothing is shuffled.
+    actions = F.array_distinct(F.transform("recommendations", lambda r: r["action"]))
+    said = lambda a: F.filter(F.transform(F.filter("recommendations", lambda r: r["action"] == a), lambda r: r["validated"]), lambda v: v.isNotNull())
+    distinct = F.transform(actions, lambda a: F.struct(a.alias("action"), F.when(F.size(said(a)) > 0, F.exists(said(a), lambda v: v)).alias("validated")))
+    return recommended.where("bucket = 'diagnosed'").select("row_no", "primary_mode", "headline", F.inline(distinct))
 
 
 def fix_outcome() -> Column:

@@ -108,7 +108,7 @@ def dominant_actions(spark, d):
 
 def noise_sweep(spark, d):
     """Metrics under growing noise of observation."""
-    return E.noise_sweep(materialise(core.features(spark, d, "labeled_inference"), "features"), (0.0, 0.5)).select("sigma", "n", "accuracy", "top3")
+    return E.noise_sweep(materialise(core.features(spark, d, "labeled_inference"), "features")).select("sigma", "n", "accuracy", "top3")
 
 
 def no_reference(spark, d):
@@ -120,7 +120,7 @@ def no_reference(spark, d):
 
 def synthetic_corpus(spark, d):
     """Rows of the made corpus by recipe, and how many rules alone get right."""
-    rows = materialise(corpus.build(corpus.facts(spark), 2), "corpus")
+    rows = materialise(corpus.build(corpus.facts(spark)), "corpus")
     r = D.diagnose(rows)
     hit = F.coalesce(F.array_contains(E.gold_primary(), F.when(~F.col("abstained"), F.col("primary_mode"))), F.lit(False))
     return r.groupBy("injection_recipe").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit | ((F.size(E.gold_primary()) == 0) & F.col("abstained"))).alias("right"))

@@ -9,7 +9,8 @@ import zipfile
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkConf
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
@@ -28,6 +29,14 @@ def local_session(cores: int = 4, partitions: int = 8) -> SparkSession:
     )
 
 
+def current_session() -> SparkSession:
+    """The session that spark-submit or a shell has set up, else a local one."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    return SparkSession.builder.getOrCreate() if SparkConf().get("spark.master", None) else local_session()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +66,21 @@ def barrier(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(inner)).alias("_b")).select("_b.*")
 
 
+def ranked(df: DataFrame, *order: Column, label: str = "ranked") -> DataFrame:
+    """Adds rank, from 0 in the given order over all rows, and _n, their number.
+
+    The order is made by ranges, so a value that a third of the rows have is still cut by what orders its rows further;
+    rows are then counted by part of the sort, and only these counts, one for each part, meet in a task.
+    """
+    made = materialise(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), label).withColumn("_part", F.shiftright("_id", 33))
+    counts = made.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    every = Window.partitionBy(F.lit(0))
+    base = counts.select("_part", (F.sum("_c").over(every.orderBy("_part")) - F.col("_c")).alias("_before"), F.sum("_c").over(every).alias("_n"))
+    # One row for each part of the sort, as many as there are shuffle partitions.
+    placed = made.join(F.broadcast(base), "_part")
+    return placed.withColumn("rank", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
+
+
 def emit(pdf: pd.DataFrame) -> list[pd.DataFrame]:
     """What a task yields of a result: nothing for an empty one, whose columns have no type that Arrow could take."""
     return [pdf] if len(pdf) else []
