@@ -62,7 +62,8 @@ def init_params(hidden: int, embed: int = 16, seed: int = 5) -> dict[str, np.nda
 
 
 def _sweep(table: np.ndarray, u: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Hidden states [T, B, H] of one direction; table is the input part of each symbol with halved gates."""
+    """Hidden states [T, B, H] of one direction; table is the input part of each symbol. The signs of table and u are turned
+    and the candidate is doubled, so that one exponential gives the gates and, as tanh x = 2 / (1 + exp(-2 x)) - 1, the candidate."""
     steps, n = ids.shape
     h4 = u.shape[1]
     hid = h4 // 4
@@ -76,10 +77,12 @@ def _sweep(table: np.ndarray, u: np.ndarray, ids: np.ndarray) -> np.ndarray:
         np.matmul(h, u, out=z)
         np.take(table, ids[t], axis=0, out=x, mode="clip")
         z += x
-        np.tanh(z, out=z)
-        g = z[:, : 3 * hid]
-        g *= 0.5
-        g += 0.5
+        np.exp(z, out=z)
+        z += 1
+        np.reciprocal(z, out=z)
+        g = z[:, 3 * hid :]
+        g *= 2
+        g -= 1
         c *= z[:, hid : 2 * hid]
         np.multiply(z[:, :hid], z[:, 3 * hid :], out=tmp)
         c += tmp
@@ -94,8 +97,8 @@ class Tagger:
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.hidden = params["Uf"].shape[0]
-        half = np.ones(4 * self.hidden, np.float32)
-        half[: 3 * self.hidden] = 0.5
+        half = np.full(4 * self.hidden, -1, np.float32)
+        half[3 * self.hidden :] = -2
         self.table = {d: ((params["E"] @ params["W" + d] + params["b" + d]) * half).astype(np.float32) for d in "fb"}
         self.u = {d: (params["U" + d] * half).astype(np.float32) for d in "fb"}
         self.v, self.c, self.trans, self.start = params["V"], params["c"], params["T"], params["s"]
@@ -108,8 +111,9 @@ class Tagger:
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """[T, B] symbols to [K, T, B] scores."""
-        f = _sweep(self.table["f"], self.u["f"], ids)
-        b = _sweep(self.table["b"], self.u["b"], ids[::-1])[::-1]
+        with np.errstate(over="ignore"):
+            f = _sweep(self.table["f"], self.u["f"], ids)
+            b = _sweep(self.table["b"], self.u["b"], ids[::-1])[::-1]
         steps, n, h = f.shape
         em = self.v[:h].T @ f.reshape(-1, h).T
         em += self.v[h:].T @ b.reshape(-1, h).T
@@ -119,24 +123,23 @@ class Tagger:
     def viterbi(self, em: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
         """Best labels [T, B] of [K, T, B]; first: scores to begin with, [K, B], else those of a text's start."""
         k, steps, n = em.shape
-        back = np.zeros((steps, k, n), np.int8)
-        score = em[:, 0] + (self.start[:, None] if first is None else first)
-        cand, better = np.empty((k, n), np.float32), np.empty((k, n), bool)
+        scores = np.empty((steps, k, n), np.float32)
+        scores[0] = em[:, 0] + (self.start[:, None] if first is None else first)
+        cand = np.empty((k, n), np.float32)
         for t in range(1, steps):
-            best = score[0] + self.trans[0][:, None]
+            before, best = scores[t - 1], scores[t]
+            np.add(before[0], self.trans[0][:, None], out=best)
             for j in range(1, k):
-                np.add(score[j], self.trans[j][:, None], out=cand)
-                np.greater(cand, best, out=better)
-                np.copyto(back[t], j, where=better)
+                np.add(before[j], self.trans[j][:, None], out=cand)
                 np.maximum(best, cand, out=best)
-            score = best + em[:, t]
+            best += em[:, t]
         out = np.empty((steps, n), np.int8)
-        rows = np.arange(n)
-        cur = score.argmax(0)
-        for t in range(steps - 1, -1, -1):
-            out[t] = cur
-            if t:
-                cur = back[t][cur, rows].astype(np.int64)
+        cur = scores[-1].argmax(0)
+        out[-1] = cur
+        for t in range(steps - 1, 0, -1):
+            # Where the best score of the label came from; asked only of the labels that are in the path.
+            cur = (scores[t - 1] + self.trans[:, cur]).argmax(0)
+            out[t - 1] = cur
         return out
 
     def open_places(self, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -65,7 +65,10 @@ def _reconcile(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
 
 
 def decode(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
-    """Mentions (type, start, end) of each text, in order of their start."""
+    """Mentions (type, start, end) of each text, in order of their start; equal texts are read once."""
+    if len(once := list(dict.fromkeys(texts))) < len(texts):
+        known = dict(zip(once, decode(tagger, once), strict=True))
+        return [known[s] for s in texts]
     jobs: list[tuple[int, int, int]] = []
     coded: list[np.ndarray | None] = []
     for k, s in enumerate(texts):
